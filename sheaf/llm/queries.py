@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import exact_dedup
+from sheaf.llm import exact_dedup, ngram_join
 from sheaf.tables import table
 
 
@@ -14,11 +14,30 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup}
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+}
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": """
         SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS first_id,
                text IS NULL OR row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AS keep
         FROM documents""",
+    "op4_ngram_jaccard_join": r"""
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-/:-@\[-`{-\x7f]+'), lambda x: x <> '') AS ws
+                   FROM documents WHERE doc_id IS NOT NULL),
+             g AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                          ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)) AS s
+                   FROM w WHERE len(ws) > 0),
+             r AS (SELECT s, min(doc_id) AS rep FROM g GROUP BY s),
+             k AS (SELECT rep, len(s) AS n, unnest(s) AS t FROM r),
+             p AS (SELECT a.rep AS doc_a, b.rep AS doc_b, a.n + b.n AS n, count(*) AS i
+                   FROM k a JOIN k b ON a.t = b.t AND a.rep < b.rep GROUP BY ALL)
+        SELECT doc_a, doc_b, i::DOUBLE / (n - i) AS jaccard FROM p WHERE 2 * i >= n - i
+        UNION ALL SELECT rep, doc_id, 1.0 FROM g JOIN r USING (s) WHERE doc_id <> rep""",
 }
