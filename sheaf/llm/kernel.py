@@ -18,10 +18,11 @@ CHUNK = 1 << 18
 
 _RADIX = 0x9E3779B97F4A7C15 | 1
 _RADIX_INVERSE = pow(_RADIX, -1, 1 << 64)
-_WORD_BYTE = np.zeros(256, dtype=bool)
-_WORD_BYTE[ord("0") : ord("9") + 1] = _WORD_BYTE[ord("a") : ord("z") + 1] = _WORD_BYTE[ord("A") : ord("Z") + 1] = True
-_WORD_BYTE[128:] = True
-_BYTE_CODE = np.where(_WORD_BYTE, np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64), np.uint64(0))
+WORD_BYTE = np.zeros(256, dtype=bool)
+WORD_BYTE[ord("0") : ord("9") + 1] = WORD_BYTE[ord("a") : ord("z") + 1] = WORD_BYTE[ord("A") : ord("Z") + 1] = True
+WORD_BYTE[128:] = True
+_BYTE_CODE = np.where(WORD_BYTE, np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64), np.uint64(0))
+_BYTE_CODE[ord("A") : ord("Z") + 1] = _BYTE_CODE[ord("a") : ord("z") + 1]  # ASCII case makes no difference
 _tables = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
@@ -66,10 +67,10 @@ def words(data: np.ndarray, offsets: np.ndarray, prefix: int = 0) -> tuple[np.nd
     where, n, cuts = 0, len(data), offsets[1:-1]
     while where < n:
         stop = min(n, where + CHUNK)
-        while stop < n and _WORD_BYTE[data[stop]] and _WORD_BYTE[data[stop - 1]]:  # cut between words
+        while stop < n and WORD_BYTE[data[stop]] and WORD_BYTE[data[stop - 1]]:  # cut between words
             stop += 1
         part = data[where:stop]
-        inside = _WORD_BYTE[part]
+        inside = WORD_BYTE[part]
         edge = np.empty(len(part) + 1, dtype=bool)
         edge[1:-1] = inside[1:] != inside[:-1]
         edge[0], edge[-1] = inside[0], inside[-1]
