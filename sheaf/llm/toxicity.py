@@ -25,7 +25,7 @@ SAMPLE, HASHED, FACTORS, DISTINCTIVE, LEAST = 8000, 1 << 17, 8, 5.0, 5
 
 
 def _features(text: pa.Array, _: list[pa.Array]) -> fm.Rows:
-    return features.terms(text, HASHED)
+    return features.terms(text, HASHED)[0]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> fm.Machine | None:
