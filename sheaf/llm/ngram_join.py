@@ -3,8 +3,8 @@
 A prefix-filtered self join under several global token orders.  A set of size s can reach the threshold t only with sets
 that share one of its first ``s - ceil(t s) + 1`` tokens, under *any* total order of all tokens.  Every order used here
 puts tokens of one set only (document frequency 1) first: they can't be shared, so a set with that many of them is done
-without a look at any other.  The orders differ among shared tokens: order A is (frequency, hash), B is (power of two of
-the frequency, another hash), C is a third hash.  Candidates must share a prefix token under A, under B and under C; then
+without a look at any other.  The orders differ among shared tokens: order A is by frequency, rare ones first, B and C are by
+two further hashes.  Candidates must share a prefix token under A, under B and under C; then
 their length bound is checked, and what remains is verified by exact intersection.
 
 Plan, each step one shuffle on even keys:
@@ -17,8 +17,8 @@ Plan, each step one shuffle on even keys:
 5. verification by units: the sets of a label in tiles of ``TILE``, a unit for each two tiles; sets that meet across labels
    share units too.  A unit multiplies incidence matrices, so that a group of n near copies ships n * n / TILE sets, not n * n.
 
-Sets are named by 64-bit digests and tokens by 64-bit hashes (at 10**10 sets, about three pairs of sets are expected to
-share a name).  The result is the whole join in a form without its quadratic part: a row for each pair of different sets
+Sets are named by 64-bit digests (at 10**10 sets, about three pairs of sets are expected to share a name).  Tokens are hashes
+of 48 bits within their bucket: two of one pair of documents of 1000 words collide with a chance of about 10**-10.  The result is the whole join in a form without its quadratic part: a row for each pair of different sets
 that reach the threshold, as (least id of either), and for each document whose set equals that of a lesser id a row to the
 least id, with Jaccard 1.  The pairs of documents are those of their sets.
 
@@ -43,14 +43,31 @@ from sheaf.llm import common, kernel
 N, THRESHOLD, TILE = 3, 0.5, 256
 #: Bytes of text whose n-grams are packed together.
 PACK = 1 << 24
+#: Token buckets at most, so that a token's bucket and its 48 bits fit in 64.
+MOST_BUCKETS = 1 << 16
 
 
 def _u64(x: bytes) -> np.ndarray:
     return np.frombuffer(x, dtype=np.uint64)
 
 
-def _i32(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, dtype=np.int32)
+def _pack48(x: np.ndarray) -> bytes:
+    """The lower 48 bits, in planes."""
+    return b"".join((x >> np.uint64(s)).astype(np.uint16).tobytes() for s in (0, 16, 32))
+
+
+def _unpack48(x: bytes, bucket: int) -> np.ndarray:
+    low, middle, high = np.frombuffer(x, np.uint16).reshape(3, -1).astype(np.uint64)
+    return low | middle << np.uint64(16) | high << np.uint64(32) | np.uint64(bucket << 48)
+
+
+def _pack32(x: np.ndarray) -> bytes:
+    """Small numbers in planes, the upper ones of which compress well."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpack32(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def required(size: np.ndarray | int, t: float) -> np.ndarray:
@@ -67,12 +84,12 @@ def _shredded(rows: int, part: np.ndarray, parts: int, columns: list[np.ndarray]
         yield int(p), [c[here] for c in columns]
 
 
-SCAN = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("tokens", "owner", "names", "sizes", "ids", "firsts")])
+SCAN = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("tokens", "counts", "names", "sizes", "ids", "firsts")])
 
 
 def scan(n: int, buckets: int):
-    """Of each pack of documents and token bucket: tokens, the place of each one's set in the lists of names, sizes, least ids,
-    and whether the bucket has the set's least token."""
+    """Of each pack of documents and token bucket: tokens set by set, and of each set how many, its name, its size, its id, and
+    whether the bucket has the set's least token."""
 
     def packed(sets: list[np.ndarray], ids: list[int]) -> Iterator[pa.RecordBatch]:
         if not sets:
@@ -83,12 +100,13 @@ def scan(n: int, buckets: int):
         owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
         width = (1 << 64) // buckets + 1
         part = (tokens // np.uint64(width)).astype(np.int32)
+        tokens = (tokens - part.astype(np.uint64) * np.uint64(width)) >> np.uint64(max(0, width.bit_length() - 48))
         at = part[begin]
         keys = np.array(ids, dtype=np.int64)
         out = []
         for p, (tok, own) in _shredded(len(tokens), part, buckets, [tokens, owner]):
-            there, local = np.unique(own, return_inverse=True)
-            out.append((p, tok.tobytes(), local.astype(np.int32).tobytes(), names[there].tobytes(), sizes[there].tobytes(), keys[there].tobytes(), (at[there] == p).tobytes()))
+            there, many = np.unique(own, return_counts=True)
+            out.append((p, _pack48(tok), _pack32(many), names[there].tobytes(), _pack32(sizes[there]), keys[there].tobytes(), (at[there] == p).tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), SCAN, strict=True)], schema=SCAN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,14 +136,13 @@ def by_bucket(batches: Iterator[pa.RecordBatch], column: str = "bucket") -> Iter
         yield bucket, list(group)
 
 
-def _stacked(group: list[dict], owner: str = "owner", names: str = "names") -> tuple[np.ndarray, np.ndarray]:
-    """The owners of all rows' tokens as places in the joined lists of names; the joined names."""
-    each = [_u64(r[names]) for r in group]
-    start = np.concatenate([[0], np.cumsum([len(x) for x in each])])
-    return np.concatenate([_i32(r[owner]).astype(np.int64) + s for r, s in zip(group, start, strict=False)]), np.concatenate(each)
+def _stacked(group: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The owners of all rows' tokens as places in the joined lists of sets; the joined names, sizes and ids."""
+    owner = np.repeat(np.arange(sum(len(r["names"]) // 8 for r in group)), np.concatenate([_unpack32(r["counts"]) for r in group]))
+    return owner, np.concatenate([_u64(r["names"]) for r in group]), np.concatenate([_unpack32(r["sizes"]) for r in group]), np.concatenate([np.frombuffer(r["ids"], np.int64) for r in group])
 
 
-SHARED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32())] + [(c, pa.binary()) for c in ("tokens", "owner", "frequency", "names", "sizes", "ids")])
+SHARED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("of", pa.int32())] + [(c, pa.binary()) for c in ("tokens", "frequency", "counts", "names", "sizes", "ids")])
 COPIES, SETS = 0, 1
 
 
@@ -133,11 +150,9 @@ def frequencies(parts: int):
     """By token bucket: links between documents of one set (kind COPIES), shared tokens by the bucket of their set (kind SETS)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in by_bucket(batches):
-            owner, names = _stacked(group)
-            tokens = np.concatenate([_u64(r["tokens"]) for r in group])
-            sizes = np.concatenate([_i32(r["sizes"]) for r in group])
-            ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in group])
+        for bucket, group in by_bucket(batches):
+            owner, names, sizes, ids = _stacked(group)
+            tokens = np.concatenate([_unpack48(r["tokens"], bucket) for r in group])
             firsts = np.concatenate([np.frombuffer(r["firsts"], bool) for r in group])
             del group
             order = np.lexsort((ids, names))
@@ -146,7 +161,7 @@ def frequencies(parts: int):
             out = []
             linked = (ids[order] != ids[lead]) & firsts[order]
             if linked.any():
-                out.append((COPIES, 0, ids[order][linked].tobytes(), ids[lead][linked].tobytes(), b"", b"", b"", b""))
+                out.append((COPIES, bucket % parts, bucket, b"", b"", b"", ids[order][linked].tobytes(), b"", ids[lead][linked].tobytes()))
             kept = np.zeros(len(names), bool)
             kept[order[new]] = True
             here = kept[owner]
@@ -157,41 +172,41 @@ def frequencies(parts: int):
             count = np.diff(np.append(begin, len(tokens)))
             df = np.repeat(count, count)
             shared = df > 1
-            tokens, owner, df = tokens[shared], owner[shared], df[shared].astype(np.int32)
+            tokens, owner, df = tokens[shared], owner[shared], df[shared]
+            order = np.argsort(owner, kind="stable")
+            tokens, owner, df = tokens[order], owner[order], df[order]
             part = (names[owner] % np.uint64(parts)).astype(np.int32)
             for p, (tok, own, f) in _shredded(len(tokens), part, parts, [tokens, owner, df]):
-                there, local = np.unique(own, return_inverse=True)
-                out.append((SETS, p, tok.tobytes(), local.astype(np.int32).tobytes(), f.tobytes(), names[there].tobytes(), sizes[there].tobytes(), ids[there].tobytes()))
+                there, many = np.unique(own, return_counts=True)
+                out.append((SETS, p, bucket, _pack48(tok), _pack32(f), _pack32(many), names[there].tobytes(), _pack32(sizes[there]), ids[there].tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), SHARED, strict=True)], schema=SHARED)
 
     return run
 
 
-SET = pa.schema([("kind", pa.int32()), ("name", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int32()), ("tokens", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("prefix", pa.list_(pa.int64())), ("lead", pa.int64())])
+SET = pa.schema([("kind", pa.int32()), ("name", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int32()), ("short", pa.int32()), ("tokens", pa.list_(pa.int64())), ("lead", pa.int64())])
 
 
 def prefixes(t: float):
-    """By bucket of sets: the sets that can have a partner, with all shared tokens and the shared part of each order's prefix.
-    Links between documents pass through."""
+    """By bucket of sets: the sets that can have a partner, with all shared tokens in order A and how many of them its prefix
+    has.  Links between documents pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in by_bucket(batches):
             for r in (r for r in group if r["kind"] == COPIES):
-                ids, lead = np.frombuffer(r["tokens"], np.int64), np.frombuffer(r["owner"], np.int64)
+                ids, lead = np.frombuffer(r["names"], np.int64), np.frombuffer(r["ids"], np.int64)
                 none = [None] * len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([COPIES] * len(ids), pa.int32()), pa.array(none, pa.int64()), pa.array(ids), *(pa.array(none, SET.field(i).type) for i in range(3, 8)), pa.array(lead)], schema=SET)
+                yield pa.RecordBatch.from_arrays([pa.array([COPIES] * len(ids), pa.int32()), pa.array(none, pa.int64()), pa.array(ids), *(pa.array(none, SET.field(i).type) for i in range(3, 6)), pa.array(lead)], schema=SET)
             group = [r for r in group if r["kind"] == SETS]
             if not group:
                 continue
-            owner, names = _stacked(group)
-            tokens = np.concatenate([_u64(r["tokens"]) for r in group])
-            df = np.concatenate([_i32(r["frequency"]) for r in group])
-            sizes = np.concatenate([_i32(r["sizes"]) for r in group])
-            ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in group])
+            owner, names, sizes, ids = _stacked(group)
+            tokens = np.concatenate([_unpack48(r["tokens"], r["of"]) for r in group])
+            df = np.concatenate([_unpack32(r["frequency"]) for r in group])
             del group
             names, first, place = np.unique(names, return_index=True, return_inverse=True)
-            sizes, ids, owner = sizes[first].astype(np.int64), ids[first], place[owner]
+            sizes, ids, owner = sizes[first], ids[first], place[owner]
             held = np.bincount(owner, minlength=len(names))
             short = held - required(sizes, t) + 1  # the prefix without the tokens of one set only
             live = short > 0
@@ -202,11 +217,7 @@ def prefixes(t: float):
             begin = np.searchsorted(owner, np.arange(len(names) + 1))
             out = []
             for i in np.flatnonzero(live):
-                tok, f, k = tokens[begin[i] : begin[i + 1]], df[begin[i] : begin[i + 1]], short[i]
-                salted = kernel.mix(tok)
-                b = tok[np.lexsort((salted, np.ceil(np.log2(f))))[:k]]
-                c = tok[np.argsort(kernel.mix(salted))[:k]]
-                out.append((SETS, names[i : i + 1].view(np.int64)[0], ids[i], sizes[i], tok.tobytes(), b.tobytes(), c.tobytes(), tok[:k].view(np.int64), None))
+                out.append((SETS, names[i : i + 1].view(np.int64)[0], ids[i], sizes[i], short[i], tokens[begin[i] : begin[i + 1]].view(np.int64), None))
                 if len(out) == 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=g.type) for x, g in zip(zip(*out, strict=True), SET, strict=True)], schema=SET)
                     out = []
@@ -250,27 +261,30 @@ def _meets(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
+def prefix(tokens: np.ndarray, short: int, order: int | None) -> np.ndarray:
+    """The first ``short`` shared tokens, in order A (as they come) or by the hash of that number."""
+    if order is None:
+        return tokens[:short]
+    return tokens[np.argsort(kernel.mix(tokens ^ np.uint64(order * 0xA24BAED4963EE407 & (1 << 64) - 1)))[:short]]
+
+
 def matches(t: float, left: list[dict], right: list[dict], same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a unit: which pairs pass the three prefix filters, the length bound and the verification, and their Jaccard."""
 
-    def column(rows: list[dict], c: str) -> list[np.ndarray]:
-        return [_u64(r[c]) for r in rows]
-
     if not left or not right:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     size = [np.array([r["size"] for r in rows], dtype=np.int64) for rows in (left, right)]
-    a = [[np.asarray(r["prefix"], np.int64).view(np.uint64) for r in rows] for rows in (left, right)]
-    ok = _meets(*a) > 0
+    tokens = [[np.asarray(r["tokens"], np.int64).view(np.uint64) for r in rows] for rows in (left, right)]
+    ok = np.minimum(size[0][:, None], size[1][None]) >= required(np.maximum(size[0][:, None], size[1][None]), t)
     if same:
         ok = np.triu(ok, 1)
-    ok &= np.minimum(size[0][:, None], size[1][None]) >= required(np.maximum(size[0][:, None], size[1][None]), t)
-    for c in ("b", "c"):
+    for order in (None, 1, 2):
         if ok.any():
-            ok &= _meets(column(left, c), column(right, c)) > 0
+            ok &= _meets(*([prefix(x, r["short"], order) for x, r in zip(xs, rows, strict=True)] for xs, rows in zip(tokens, (left, right), strict=True))) > 0
     i, j = np.nonzero(ok)
     if not len(i):
         return i, j, np.zeros(0)
-    common_ = _meets(column(left, "tokens"), column(right, "tokens"))[i, j]
+    common_ = _meets(*tokens)[i, j]
     union = size[0][i] + size[1][j] - common_
     good = common_ >= t * union - 1e-9
     return i[good], j[good], common_[good] / union[good]
@@ -316,15 +330,15 @@ def verify(t: float):
 def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """(doc_a, doc_b, jaccard): all pairs of different sets of at least the threshold, and the links between equal sets."""
     spark = docs.sparkSession
-    parts = common.partitions(spark)
+    parts = min(common.partitions(spark), MOST_BUCKETS)
     texts = common.own(docs, "doc_id", "text").where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), common.lowered(F.col("text")).alias("text"))
     tokens = common.placed(texts.mapInArrow(scan(n, parts), _schema(SCAN)), "bucket", parts).sortWithinPartitions("bucket")
     shared = common.placed(tokens.mapInArrow(frequencies(parts), _schema(SHARED)), "bucket", parts).sortWithinPartitions("bucket")
     found = common.cut(shared.mapInArrow(prefixes(threshold), _schema(SET)))
     links = found.where(F.col("kind") == COPIES).select(F.col("lead").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-    sets = found.where(F.col("kind") == SETS).select("name", "doc_id", "size", "tokens", "b", "c", "prefix")
+    sets = found.where(F.col("kind") == SETS).select("name", "doc_id", "size", "short", "tokens")
 
-    posted = sets.select("name", "size", F.explode("prefix").alias("token"))
+    posted = sets.select("name", "size", F.explode(F.slice("tokens", F.lit(1), F.col("short"))).alias("token"))
     label = posted.withColumn("least", F.min("name").over(Window.partitionBy("token"))).groupBy("name").agg(F.min("least").alias("label"))
     tiles = label.groupBy("label").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     place = common.cut(label.join(tiles, "label").select("name", "label", "tiles", F.pmod(F.xxhash64("name"), "tiles").cast("int").alias("tile")))
@@ -344,5 +358,5 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tile:
     unit = ["la", "ta", "lb", "tb"]
     crossing = across.select(F.explode(F.array(F.struct(F.col("a").alias("name"), F.lit(0).alias("side")), F.struct(F.col("b").alias("name"), F.lit(1).alias("side")))).alias("m"), *unit).select("m.name", *unit, "m.side").distinct()
     members = within.unionByName(crossing).join(sets, "name")
-    pairs = members.repartition(parts, *unit).sortWithinPartitions(*unit, "side", "name").select(*unit, "side", "doc_id", "size", "tokens", "b", "c", "prefix").mapInArrow(verify(threshold), _schema(PAIR))
+    pairs = members.repartition(parts, *unit).sortWithinPartitions(*unit, "side", "name").select(*unit, "side", "doc_id", "size", "short", "tokens").mapInArrow(verify(threshold), _schema(PAIR))
     return pairs.unionByName(links)
