@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import exact_dedup, ngram_join, quality, toxicity
+from sheaf.llm import decontaminate, exact_dedup, ngram_join, quality, toxicity
 from sheaf.tables import table
 
 
@@ -28,11 +28,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op8_toxicity": op8_toxicity,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 SQL: dict[str, str] = {
@@ -52,4 +57,23 @@ SQL: dict[str, str] = {
                    FROM k a JOIN k b ON a.t = b.t AND a.rep < b.rep GROUP BY ALL)
         SELECT doc_a, doc_b, i::DOUBLE / (n - i) AS jaccard FROM p WHERE 2 * i >= n - i
         UNION ALL SELECT rep, doc_id, 1.0 FROM g JOIN r USING (s) WHERE doc_id <> rep""",
+    "op10_benchmark_decontamination": r"""
+        WITH iw AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[\x00-/:-@\[-`{-\x7f]+'), lambda x: x <> '') AS ws
+                    FROM benchmark WHERE text IS NOT NULL),
+             items AS (SELECT row_number() OVER () AS k, item_id, len(ws) AS n, least(len(ws), 3) AS span,
+                              list_distinct(list_transform(range(1, len(ws) - least(len(ws), 3) + 2), lambda i: array_to_string(ws[i:i + least(len(ws), 3) - 1], ' '))) AS s
+                       FROM iw WHERE len(ws) > 0),
+             runs AS (SELECT k, span, unnest(s) AS t FROM items),
+             dw AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-/:-@\[-`{-\x7f]+'), lambda x: x <> '') AS ws
+                    FROM documents WHERE text IS NOT NULL),
+             d AS (SELECT row_number() OVER () AS dk, doc_id, ws FROM dw WHERE len(ws) > 0),
+             p AS (SELECT dk, doc_id, span, unnest(range(0, len(ws) - span + 1)) AS p, ws FROM d, (SELECT DISTINCT span FROM runs) WHERE len(ws) >= span),
+             x AS (SELECT dk, doc_id, span, p, array_to_string(ws[p + 1:p + span], ' ') AS t FROM p),
+             hits AS (SELECT dk, doc_id, k, p, t FROM x JOIN runs USING (span, t)),
+             w AS (SELECT a.dk, a.doc_id, a.k, a.p, count(DISTINCT b.t) AS c
+                   FROM (SELECT DISTINCT dk, doc_id, k, p FROM hits) a JOIN items USING (k) JOIN hits b ON a.dk = b.dk AND a.k = b.k AND b.p BETWEEN a.p AND a.p + items.n - items.span
+                   GROUP BY ALL),
+             best AS (SELECT dk, doc_id, k, max(c) AS c, arg_min(p, (-c, p)) AS p FROM w GROUP BY ALL)
+        SELECT doc_id, item_id, c::INTEGER AS matched, len(s)::INTEGER AS size, c::DOUBLE / len(s) AS containment, p::INTEGER AS position
+        FROM best JOIN items USING (k) WHERE c >= ceil(len(s) * 0.6 - 1e-9)""",
 }
