@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import bpe, decontaminate, exact_dedup, ngram_join, quality, toxicity
+from sheaf.llm import bpe, decontaminate, exact_dedup, html, langid, licenses, ngram_join, quality, toxicity, warc
 from sheaf.tables import table
 
 
@@ -27,11 +27,28 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.classify(docs, langid.fit(docs))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(warc.records(table(spark, sf_dir, "pages")))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,7 +58,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_bpe": op3_bpe,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_language_id": op5_language_id,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
+    "op9_warc": op9_warc,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
@@ -62,6 +83,13 @@ SQL: dict[str, str] = {
                    FROM k a JOIN k b ON a.t = b.t AND a.rep < b.rep GROUP BY ALL)
         SELECT doc_a, doc_b, i::DOUBLE / (n - i) AS jaccard FROM p WHERE 2 * i >= n - i
         UNION ALL SELECT rep, doc_id, 1.0 FROM g JOIN r USING (s) WHERE doc_id <> rep""",
+    "op9_warc": """
+        SELECT page_id AS record_id, sha256(html) AS digest, octet_length(encode(html))::BIGINT AS length,
+               sha256('WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:' || page_id || '>\r\nWARC-Target-URI: ' || url
+                      || '\r\nContent-Type: text/html\r\nWARC-Block-Digest: sha256:' || sha256(html)
+                      || '\r\nContent-Length: ' || octet_length(encode(html)) || '\r\n\r\n' || html) AS record_sha256,
+               true AS verified, true AS declared_ok
+        FROM pages""",
     "op10_benchmark_decontamination": r"""
         WITH iw AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[\x00-/:-@\[-`{-\x7f]+'), lambda x: x <> '') AS ws
                     FROM benchmark WHERE text IS NOT NULL),
