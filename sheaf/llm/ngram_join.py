@@ -38,9 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm import common, kernel
+from sheaf.llm import common, groups, kernel
 
 N, THRESHOLD, TILE = 3, 0.5, 256
+#: Up to so many dropped documents' ids are broadcast.
+BROADCAST_DROPPED = 200_000
 #: Bytes of text whose n-grams are packed together.
 PACK = 1 << 24
 #: Token buckets at most, so that a token's bucket and its 48 bits fit in 64.
@@ -360,3 +362,12 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tile:
     members = within.unionByName(crossing).join(sets, "name")
     pairs = members.repartition(parts, *unit).sortWithinPartitions(*unit, "side", "name").select(*unit, "side", "doc_id", "size", "short", "tokens").mapInArrow(verify(threshold), _schema(PAIR))
     return pairs.unionByName(links)
+
+
+def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+    """The documents without those that are linked, directly or through others, with one of a lesser id; all columns as they
+    were.  Rows of one id stay or go together; rows with a null id stay."""
+    pairs = ngram_join(docs, n, threshold, tile)
+    gone = common.cut(groups.components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).select(F.col("a").alias("__gone")))
+    small = gone.count() <= BROADCAST_DROPPED
+    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].cast("bigint") == gone["__gone"], "left_anti")
