@@ -1 +1,3 @@
-"""Plans of the library."""
+"""The queries of the library; importing the package registers them."""
+
+from sheaf.plans import graph, metadata  # noqa: F401
