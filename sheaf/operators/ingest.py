@@ -13,7 +13,7 @@ THRESHOLD = 35
 
 def questions(body: Column) -> Column:
     """At most five lines of ten to 220 characters that end in a question mark."""
-    return F.slice(F.transform(T.matches(body, r"(?m)^[^\n]{10,220}\?\s*$"), lambda q: F.btrim(q)), 1, 5)
+    return F.slice(F.transform(T.matches(body, r"(?m)^[^\n]{10,220}\?\s*$"), lambda q: F.regexp_replace(q, r"^\s+|\s+$", "")), 1, 5)
 
 
 def first_lines(text: Column, n: int = 3, width: int = 120) -> Column:
