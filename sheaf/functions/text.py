@@ -112,11 +112,15 @@ def luhn(number: Column) -> Column:
     return F.length(d).between(13, 19) & (F.aggregate(each, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10 == 0)
 
 
+def chars(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
 def iban(number: Column) -> Column:
     """Whether an account number of 15 to 34 characters has the remainder 1 by 97."""
     n = F.upper(F.replace(number, F.lit(" "), F.lit("")))
     turned = F.concat(F.substring(n, F.lit(5), F.length(n)), F.substring(n, F.lit(1), F.lit(4)))
-    codes = F.transform(F.split(turned, "(?!^)"), lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55))
+    codes = F.transform(chars(turned), lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55))
     rest = F.aggregate(codes, F.lit(0), lambda a, x: (F.when(x > 9, a * 100).otherwise(a * 10) + x) % 97)
     return F.length(n).between(15, 34) & (rest == 1)
 

@@ -78,7 +78,7 @@ def hash_terms(terms: DataFrame, common: list[str]) -> DataFrame:
 
 def variants(term: Column) -> Column:
     """Spellings of a term that a denylist may lack."""
-    chars = F.split(term, "(?!^)")
+    chars = T.chars(term)
     return F.array_distinct(F.array(term, F.upper(term), F.lower(term), F.initcap(term), F.array_join(chars, "-"), F.array_join(chars, " ")))
 
 
