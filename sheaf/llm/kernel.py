@@ -108,7 +108,8 @@ def shingles(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
     left = np.repeat(np.minimum(count, n), runs)
     out = left.astype(np.uint64)
     for i in range(n):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + np.where(left > i, padded[begin + i], np.uint64(0))
+        more = out * np.uint64(0xD6E8FEB86659FD93) + padded[begin + i]
+        out = more if i == 0 else np.where(left > i, more, out)  # a short run's hash doesn't depend on n
     return mix(out), start
 
 
