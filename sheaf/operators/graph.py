@@ -56,7 +56,7 @@ def broken_anchors(resolved: DataFrame, notes: DataFrame) -> DataFrame:
     to_head = a.where(~F.col("a").startswith("^")).withColumn("norm", N.heading_norm(F.col("a")))
     there = notes.select(F.col("path").alias("dst"))
     lost = to_head.join(N.headings(notes).withColumnRenamed("path", "dst"), ["dst", "norm"], "left_anti").select("src", "dst", "anchor").unionByName(to_block.join(N.blocks(notes).withColumnRenamed("path", "dst"), ["dst", "id"], "left_anti").select("src", "dst", "anchor"))
-    return lost.join(there, "dst", "left_semi")
+    return lost.join(there, "dst", "left_semi").select("src", "dst", "anchor")
 
 
 def stem_collisions(files: DataFrame) -> DataFrame:

@@ -48,12 +48,12 @@ def local(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".md",),
 
 def notes(spark: SparkSession, root: str, exclude: tuple[str, ...] = EXCLUDE) -> DataFrame:
     """(path, text) of the markdown files below ``root``."""
-    return listing(spark, root, "*.md", exclude).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return listing(spark, root, "*.md", exclude).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def corpus(spark: SparkSession, root: str) -> DataFrame:
     """(path, text) of markdown and text files."""
-    return listing(spark, root, "*.{md,markdown,txt}").select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return listing(spark, root, "*.{md,markdown,txt}").select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def canvas_links(files: DataFrame) -> DataFrame:
