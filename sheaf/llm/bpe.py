@@ -34,9 +34,11 @@ from sheaf.llm import common, kernel
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A worker keeps the tokens of so many words; beyond, those of words that it then doesn't meet for as long are dropped.
-KEPT_WORDS = 1 << 18
+KEPT_WORDS = 1 << 16
+#: A worker keeps so many answers about pairs of tokens.
+KEPT_PAIRS = 1 << 18
 #: Bytes of text split at once.
-SLICE = 1 << 21
+SLICE = 1 << 19
 OTHER, LETTER, NUMBER, SPACE = range(4)
 _CONTRACTIONS = [s.encode() for s in ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")]
 _NEVER = 1 << 40
@@ -55,7 +57,7 @@ class Encoder:
         self.bytes = {r: b for b, r in ranks.items()}
         self.longest = max(map(len, ranks))
         self._parts: dict[int, tuple[int, int] | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._ends: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self.nodes = 0
 
@@ -93,7 +95,7 @@ class Encoder:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the two tokens' bytes together are merged into these two tokens: no merge across is ever the next one."""
-        key = (left, right)
+        key = left << 32 | right
         got = self._fits.get(key)
         if got is None:
             got = True
@@ -105,6 +107,8 @@ class Encoder:
                         break
                 if not got:
                     break
+            if len(self._fits) >= KEPT_PAIRS:
+                self._fits.clear()
             self._fits[key] = got
         return got
 
@@ -310,7 +314,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
             listed = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(tokens, pa.int32()), mask=none)
             yield pa.RecordBatch.from_arrays([b.column(0), listed, pa.array(np.diff(first).astype(np.int32), mask=mask), pa.array(exact, mask=mask)], schema=_ENCODED)
 
-    return common.own(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, ENCODED)
+    return common.own(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).transform(kernel.arrow, run, ENCODED)
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -324,4 +328,4 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
             texts = [None if t is None else tool.decode(np.asarray(t, np.int64)).tobytes().decode("utf-8", "replace") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return common.own(encoded, "doc_id", "tokens").select(F.col("doc_id").cast("bigint"), F.col("tokens").cast("array<int>")).mapInArrow(run, "doc_id bigint, text string")
+    return common.own(encoded, "doc_id", "tokens").select(F.col("doc_id").cast("bigint"), F.col("tokens").cast("array<int>")).transform(kernel.arrow, run, "doc_id bigint, text string")

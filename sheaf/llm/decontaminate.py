@@ -112,7 +112,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, matched, size, containment, position): documents and the items that they contain."""
-    items = common.cut(_texts(benchmark, "item_id").mapInArrow(_scan(None, n, None), RUNS).withColumn("runs", F.array_sort(F.array_distinct("runs"))).drop("positions").distinct())
+    items = common.cut(_texts(benchmark, "item_id").transform(kernel.arrow, _scan(None, n, None), RUNS).withColumn("runs", F.array_sort(F.array_distinct("runs"))).drop("positions").distinct())
     tokens = items.select("span", F.explode("runs").alias("run")).distinct()
     lengths = [r["span"] for r in tokens.select("span").distinct().orderBy("span").collect()]
     texts = _texts(docs, "doc_id")
@@ -120,9 +120,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: f
         return texts.where("false").select(F.col("id").alias("doc_id"), F.lit(0).cast("bigint").alias("item_id"), F.lit(0).alias("matched"), F.lit(0).alias("size"), F.lit(0.0).alias("containment"), F.lit(0).alias("position"))
     if tokens.count() <= BROADCAST_SHINGLES:
         wanted = np.unique(np.array([r["run"] for r in tokens.select("run").collect()], dtype=np.int64).view(np.uint64))
-        scanned = texts.mapInArrow(_scan(lengths, n, wanted), RUNS)
+        scanned = texts.transform(kernel.arrow, _scan(lengths, n, wanted), RUNS)
     else:
-        each = texts.mapInArrow(_scan(lengths, n, None), RUNS).select("id", "name", "n_words", "span", F.explode(F.arrays_zip("positions", "runs")).alias("x"))
+        each = texts.transform(kernel.arrow, _scan(lengths, n, None), RUNS).select("id", "name", "n_words", "span", F.explode(F.arrays_zip("positions", "runs")).alias("x"))
         met = each.select("id", "name", "n_words", "span", F.col("x.positions").alias("p"), F.col("x.runs").alias("run")).join(tokens.select("run").distinct(), "run", "left_semi")
         scanned = met.groupBy("id", "name", "n_words", "span").agg(F.array_sort(F.collect_set(F.struct("p", "run"))).alias("x")).select("id", "name", "n_words", "span", F.col("x.p").alias("positions"), F.col("x.run").alias("runs"))
     hits = common.cut(scanned)
@@ -145,7 +145,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: f
         .select("doc_key", "item_key")
         .distinct()
     )
-    return candidates.join(keyed, "doc_key").join(sets, "item_key").select("doc_id", "item_id", "length", "span", "need", "prefix", "item", "positions", "runs").mapInArrow(_windows, "doc_id bigint, item_id bigint, matched int, size int, containment double, position int")
+    return candidates.join(keyed, "doc_key").join(sets, "item_key").select("doc_id", "item_id", "length", "span", "need", "prefix", "item", "positions", "runs").transform(kernel.arrow, _windows, "doc_id bigint, item_id bigint, matched int, size int, containment double, position int")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm import common
+from sheaf.llm import common, kernel
 
 #: Up to so many verified digests are broadcast; more are joined by a shuffle.
 BROADCAST_DIGESTS = 200_000
@@ -178,7 +178,7 @@ def change(keys: DataFrame, index: DataFrame | None = None, delete: bool = False
     if index is not None:
         rows = rows.unionByName(index.where(F.col("op") == INDEX).select("bucket", "op", "digest", "doc_id"))
     placed = common.placed(rows, "bucket", n).sortWithinPartitions("bucket", F.col("op") != INDEX, F.col("doc_id").asc_nulls_last())
-    return placed.mapInArrow(_apply(emit_index), RESULT).select("bucket", "op", "digest", "doc_id", "first_id")
+    return placed.transform(kernel.arrow, _apply(emit_index), RESULT).select("bucket", "op", "digest", "doc_id", "first_id")
 
 
 def copies(docs: DataFrame, buckets: int = 0) -> DataFrame:

@@ -8,10 +8,12 @@ Nulls count as empty texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes handled at once; a single word that is longer is handled whole.
 CHUNK = 1 << 18
@@ -113,7 +115,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
     return mix(out), start
 
 
-def slices(batch: pa.RecordBatch, text: str, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in slices of about ``size`` bytes of text, so that memory doesn't depend on the batch's size."""
     if not batch.num_rows:
         return
@@ -123,3 +125,27 @@ def slices(batch: pa.RecordBatch, text: str, size: int = 1 << 22) -> Iterator[pa
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         yield batch.slice(row, end - row)
         row = end
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def release() -> None:
+    """Gives memory that isn't in use back to the system: a worker that waits for its next task holds none."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the C library that has it
+        pass
+
+
+def arrow(df: DataFrame, run: Run, schema: str) -> DataFrame:
+    """mapInArrow, giving memory back at the end of each task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(task, schema)

@@ -35,7 +35,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, columns: l
             cut = list(zip(x.start[:-1], x.start[1:], strict=True))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2 + len(columns)), pa.array([x.index[i:j].tobytes() for i, j in cut], pa.binary()), pa.array([x.value[i:j].tobytes() for i, j in cut], pa.binary())], names=["doc_id", "label", "i", "v"])
 
-    got = found.select(F.col("doc_id").cast("bigint"), "text", *[F.col(c).cast("string") for c in columns], "label").mapInArrow(run, "doc_id bigint, label int, i binary, v binary").collect()
+    got = found.select(F.col("doc_id").cast("bigint"), "text", *[F.col(c).cast("string") for c in columns], "label").transform(kernel.arrow, run, "doc_id bigint, label int, i binary, v binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["i"])))
     index = [np.frombuffer(r["i"], np.int32) for r in got]
     none = np.zeros(0)

@@ -120,13 +120,13 @@ def _texts(docs: DataFrame, *more: str) -> DataFrame:
 
 def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, clusters: int = CLUSTERS) -> Centroids:
     texts = _texts(docs, label).withColumnRenamed(label, "lang")
-    totals = {r["key"]: r["n"] for r in texts.select("text").mapInArrow(_frequencies, "key int, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+    totals = {r["key"]: r["n"] for r in texts.select("text").transform(kernel.arrow, _frequencies, "key int, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()}
     n = totals.get(HASHED, 0)
     idf = np.array([np.log((1 + n) / (1 + totals.get(i, 0))) + 1 for i in range(HASHED)], np.float32)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = common.own(docs, "doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").cast("bigint"), F.col(label).cast("string").alias("lang")).distinct()
     chosen = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("doc_id", "lang")
-    got = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(_sparse, "doc_id bigint, lang string, k binary, v binary").collect()
+    got = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text").transform(kernel.arrow, _sparse, "doc_id bigint, lang string, k binary, v binary").collect()
     model = Centroids(idf, [], np.zeros((0, HASHED), np.float32), np.zeros(0))
     vectors, radius = [], []
     for lang in sorted({r["lang"] for r in got}):
@@ -166,4 +166,4 @@ def classify(docs: DataFrame, model: Centroids) -> DataFrame:
                 name = [m.languages[i] if s else None for i, s in zip(best, some, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x if o else None for x, o in zip(name, ok, strict=True)], pa.string()), pa.array(name, pa.string()), pa.array(np.where(some, cosine, 0.0))], names=["doc_id", "lang_id", "nearest", "cosine"])
 
-    return _texts(docs).mapInArrow(run, RESULT)
+    return _texts(docs).transform(kernel.arrow, run, RESULT)

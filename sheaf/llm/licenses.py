@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm import common
+from sheaf.llm import common, kernel
 from sheaf.llm.license_rules import TABLE
 
 
@@ -104,4 +104,4 @@ def scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=_RESULT)
 
     texts = common.own(docs, "doc_id", "text").where(F.col("text").isNotNull())
-    return texts.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, RESULT)
+    return texts.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).transform(kernel.arrow, run, RESULT)

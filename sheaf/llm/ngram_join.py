@@ -44,7 +44,7 @@ N, THRESHOLD, TILE = 3, 0.5, 256
 #: Up to so many dropped documents' ids are broadcast.
 BROADCAST_DROPPED = 200_000
 #: Bytes of text whose n-grams are packed together.
-PACK = 1 << 24
+PACK = 1 << 23
 #: Token buckets at most, so that a token's bucket and its 48 bits fit in 64.
 MOST_BUCKETS = 1 << 16
 
@@ -334,9 +334,9 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tile:
     spark = docs.sparkSession
     parts = min(common.partitions(spark), MOST_BUCKETS)
     texts = common.own(docs, "doc_id", "text").where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), common.lowered(F.col("text")).alias("text"))
-    tokens = common.placed(texts.mapInArrow(scan(n, parts), _schema(SCAN)), "bucket", parts).sortWithinPartitions("bucket")
-    shared = common.placed(tokens.mapInArrow(frequencies(parts), _schema(SHARED)), "bucket", parts).sortWithinPartitions("bucket")
-    found = common.cut(shared.mapInArrow(prefixes(threshold), _schema(SET)))
+    tokens = common.placed(texts.transform(kernel.arrow, scan(n, parts), _schema(SCAN)), "bucket", parts).sortWithinPartitions("bucket")
+    shared = common.placed(tokens.transform(kernel.arrow, frequencies(parts), _schema(SHARED)), "bucket", parts).sortWithinPartitions("bucket")
+    found = common.cut(shared.transform(kernel.arrow, prefixes(threshold), _schema(SET)))
     links = found.where(F.col("kind") == COPIES).select(F.col("lead").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
     sets = found.where(F.col("kind") == SETS).select("name", "doc_id", "size", "short", "tokens")
 
@@ -360,7 +360,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tile:
     unit = ["la", "ta", "lb", "tb"]
     crossing = across.select(F.explode(F.array(F.struct(F.col("a").alias("name"), F.lit(0).alias("side")), F.struct(F.col("b").alias("name"), F.lit(1).alias("side")))).alias("m"), *unit).select("m.name", *unit, "m.side").distinct()
     members = within.unionByName(crossing).join(sets, "name")
-    pairs = members.repartition(parts, *unit).sortWithinPartitions(*unit, "side", "name").select(*unit, "side", "doc_id", "size", "short", "tokens").mapInArrow(verify(threshold), _schema(PAIR))
+    pairs = members.repartition(parts, *unit).sortWithinPartitions(*unit, "side", "name").select(*unit, "side", "doc_id", "size", "short", "tokens").transform(kernel.arrow, verify(threshold), _schema(PAIR))
     return pairs.unionByName(links)
 
 

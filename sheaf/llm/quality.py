@@ -51,7 +51,7 @@ def score(docs: DataFrame, machine: fm.Machine | None, metadata: tuple[str, ...]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, mask=np.isnan(s)), pa.array(_kept(s, machine))], names=["doc_id", "score", "keep"])
 
     columns = [F.col("doc_id").cast("bigint"), F.col("text"), *[F.col(c).cast("string") for c in metadata]]
-    return common.own(docs, "doc_id", "text", *metadata).select(*columns).mapInArrow(run, "doc_id bigint, score double, keep boolean")
+    return common.own(docs, "doc_id", "text", *metadata).select(*columns).transform(kernel.arrow, run, "doc_id bigint, score double, keep boolean")
 
 
 def keep(docs: DataFrame, machine: fm.Machine | None, metadata: tuple[str, ...] = METADATA) -> DataFrame:
@@ -63,4 +63,4 @@ def keep(docs: DataFrame, machine: fm.Machine | None, metadata: tuple[str, ...]
         for b in (s for batch in batches for s in kernel.slices(batch, "text")):
             yield b.filter(pa.array(_kept(of(b), machine)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(kernel.arrow, run, docs.schema)

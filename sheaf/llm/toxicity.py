@@ -48,4 +48,4 @@ def score(docs: DataFrame, machine: fm.Machine | None) -> DataFrame:
             toxic = ~np.isnan(s) & (s >= machine.threshold) if machine else np.zeros(len(s), bool)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, mask=np.isnan(s)), pa.array(toxic)], names=["doc_id", "score", "toxic"])
 
-    return common.own(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, score double, toxic boolean")
+    return common.own(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text").transform(kernel.arrow, run, "doc_id bigint, score double, toxic boolean")

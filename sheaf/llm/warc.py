@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm import common
+from sheaf.llm import common, kernel
 
 END = b"\r\n\r\n"
 
@@ -105,7 +105,7 @@ def read(files: DataFrame) -> DataFrame:
                 for i, (head, body) in enumerate(split(content or b"")):
                     yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([i], pa.int64()), pa.array([head], pa.binary()), pa.array([body], pa.binary())], schema=schema)
 
-    rows = common.own(files, "path", "content").mapInArrow(run, "path string, position bigint, header binary, payload binary")
+    rows = common.own(files, "path", "content").transform(kernel.arrow, run, "path string, position bigint, header binary, payload binary")
     return rows.select("path", "position", F.xxhash64("path", "position").alias("record_id"), "header", "payload")
 
 
@@ -117,4 +117,4 @@ def write(recs: DataFrame) -> DataFrame:
             members = [gzip.compress((h or b"") + (p or b"") + END, mtime=0) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(members, pa.binary())], names=["record_id", "member"])
 
-    return common.own(recs, "record_id", "header", "payload").mapInArrow(run, "record_id bigint, member binary")
+    return common.own(recs, "record_id", "header", "payload").transform(kernel.arrow, run, "record_id bigint, member binary")
