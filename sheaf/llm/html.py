@@ -3,7 +3,7 @@
 Every DOM node has its characters C, tags T, and characters LC and tags LT within links, all of its subtree.  Its composite
 density is C/T * log_b(C/LC * T/LT) with b = ln(C/(C-LC) * LC + LCbody/Cbody * C + e), where divisors of 0 count as 1 and ln b
 is at least ``FLOOR``; a node without characters has density 0.  The sum of a node's children's densities says how much dense
-content is right below it.  The node of the greatest sum within the body is selected (of equal ones the first), the threshold
+content is right below it; inline elements are part of the text that they are in and don't count there.  The node of the greatest sum within the body is selected (of equal ones the first), the threshold
 is the least density on the path from it to the body, and block subtrees in it whose density is below the threshold are left
 out.  Pages are parsed in Arrow batches, a scan without a shuffle.
 
@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm import common
+from sheaf.llm import common, kernel
 
 FLOOR = 0.5
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe svg math".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul br".split())
+_INLINE = frozenset("a abbr b big br cite code del em font i ins kbd label mark q s samp small span strike strong sub sup tt u var wbr".split())
 _LAYOUT = frozenset("aside div dl fieldset footer form header nav ol section table ul".split())
 #: An element of the key's name ends open ones of these names, up to the nearest of the stops.
 _ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
@@ -124,7 +125,7 @@ class Dom:
         under[body] = True
         for i in range(body + 1, n):
             under[i] = under[self.parent[i]]
-            if under[i]:
+            if under[i] and self.tag[i] not in _INLINE:
                 total[self.parent[i]] += density[i]
         best = max((i for i in range(body, n) if under[i]), key=lambda i: (total[i], -i))
         path, threshold, i = [], density[best], best
@@ -166,4 +167,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 rows = [{"page_id": i, **(Dom(page).content() if page else _NOTHING)} for i, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, schema=_RESULT)
 
-    return common.own(pages, "page_id", "html").select(F.col("page_id").cast("bigint"), F.col("html").cast("string")).mapInArrow(run, RESULT)
+    return common.own(pages, "page_id", "html").select(F.col("page_id").cast("bigint"), F.col("html").cast("string")).transform(kernel.arrow, run, RESULT)
