@@ -1,3 +1,3 @@
 """The queries of the library; importing the package registers them."""
 
-from sheaf.plans import audits, correlate, graph, leak, memory, metadata  # noqa: F401
+from sheaf.plans import audits, correlate, graph, leak, memory, metadata, rewrites  # noqa: F401
