@@ -18,6 +18,10 @@ from pyspark.sql import DataFrame
 #: Bytes handled at once; a single word that is longer is handled whole.
 CHUNK = 1 << 18
 
+#: Bytes of an Arrow batch on its way to a worker.
+BATCH_BYTES = 4 << 20
+_BOUND = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b")  # Spark's own bound
+
 _RADIX = 0x9E3779B97F4A7C15 | 1
 _RADIX_INVERSE = pow(_RADIX, -1, 1 << 64)
 WORD_BYTE = np.zeros(256, dtype=bool)
@@ -140,7 +144,13 @@ def release() -> None:
 
 
 def arrow(df: DataFrame, run: Run, schema: str) -> DataFrame:
-    """mapInArrow, giving memory back at the end of each task."""
+    """mapInArrow, giving memory back at the end of each task.
+
+    Batches are bounded by their bytes, as texts differ in length: a session that has no bound of its own (Spark's is far
+    above what a worker should hold) gets ``BATCH_BYTES``."""
+    conf = df.sparkSession.conf
+    if conf.get(_BOUND[0]) == _BOUND[1]:
+        conf.set(_BOUND[0], f"{BATCH_BYTES}b")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
