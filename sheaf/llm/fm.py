@@ -48,17 +48,93 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
 
+#: Terms whose pairs are counted together, and the chance at which any pair passes that only looks as if it said something.
+BLOCK, CHANCE = 1024, 0.01
+
+
+def _evidence(pos: np.ndarray, seen: np.ndarray, low: np.ndarray | float, high: np.ndarray | float) -> np.ndarray:
+    """Minus the logarithm of Chernoff's bound of the chance that ``pos`` or a more extreme count of ``seen`` rows is positive,
+    when a share from ``low`` to ``high`` is expected (0 within it)."""
+    share = pos / np.maximum(seen, 1)
+    expected = np.clip(np.clip(share, low, high), 1e-6, 1 - 1e-6)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return pos * np.where(pos > 0, np.log(share / expected), 0) + (seen - pos) * np.where(seen > pos, np.log((1 - share) / (1 - expected)), 0)
+
+
+def paired(x: Rows, y: np.ndarray, usable: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """Which of the ``usable`` features say something in a pair: rows with both have another share of positive ones than those
+    of either (if one is ``marked`` by its own share already, than those of that one).  All pairs are counted, except for those
+    with a feature of too few rows to pass with any other."""
+    dims = len(usable)
+    row, index = np.repeat(np.arange(len(x)), np.diff(x.start)), x.index
+    seen, pos = np.bincount(index, minlength=dims), np.bincount(index, y[row], minlength=dims)
+    terms, out = int(usable.sum()), np.zeros(dims, bool)
+    if terms < 2:
+        return out
+    need, share, own = np.log(terms * (terms - 1) / 2 / CHANCE), y.mean(), pos / np.maximum(seen, 1)
+    order = np.argsort(index, kind="stable")
+    row, begin = row[order], np.searchsorted(index[order], np.arange(dims + 1))
+    classes = [np.flatnonzero(y == 0), np.flatnonzero(y == 1)]
+    place = np.zeros(len(x), np.int64)
+    for rows in classes:
+        place[rows] = np.arange(len(rows))
+
+    def incidence(features: np.ndarray) -> list[np.ndarray]:
+        """Of each class, its rows by these features."""
+        m = [np.zeros((len(rows), len(features)), np.float32) for rows in classes]
+        for k, f in enumerate(features):
+            here = row[begin[f] : begin[f + 1]]
+            for c in (0, 1):
+                m[c][place[here[y[here] == c]], k] = 1
+        return m
+
+    def blocks(features: np.ndarray) -> list[np.ndarray]:
+        return [features[low : low + BLOCK] for low in range(0, len(features), BLOCK)]
+
+    def able(low: float, high: float) -> np.ndarray:
+        """Unmarked features that can pass if all of their rows of one class, and no others, are the pair's."""
+        best = np.maximum(pos * -np.log(np.clip(low, 1e-6, 1)), (seen - pos) * -np.log(np.clip(1 - high, 1e-6, 1)))
+        return np.flatnonzero(usable & ~marked & (best >= need))
+
+    def meet(left: np.ndarray, right: np.ndarray, a: list[np.ndarray], b: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> None:
+        positive = (a[1].T @ b[1]).astype(np.float64)
+        both = positive + a[0].T @ b[0]
+        i, j = np.nonzero((positive * -np.log(np.clip(low, 1e-6, 1)) >= need) | ((both - positive) * -np.log(np.clip(1 - high, 1e-6, 1)) >= need))
+        good = (left[i] != right[j]) & (_evidence(positive[i, j], both[i, j], low[i, j], high[i, j]) >= need)
+        out[left[i[good]]] = True
+        out[right[j[good]]] = True
+
+    plain = blocks(able(share, share))
+    for n, left in enumerate(plain):
+        a = incidence(left)
+        for right in plain[n:]:
+            low = np.minimum(np.minimum(own[left][:, None], own[right][None]), share)
+            high = np.maximum(np.maximum(own[left][:, None], own[right][None]), share)
+            meet(left, right, a, a if right is left else incidence(right), low, high)
+    known = np.flatnonzero(usable & marked)
+    if len(known):
+        others = blocks(able(own[known].min(), own[known].max()))
+        for left in blocks(known):
+            a = incidence(left)
+            expected = own[left][:, None]
+            for right in others:
+                e = np.broadcast_to(expected, (len(left), len(right)))
+                meet(left, right, a, incidence(right), e, e)
+    return out
+
+
 def train(x: Rows, y: np.ndarray, dims: int, factors: int = 8, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, batch: int = 64, least: int = 1, distinctive: float = 0.0, seed: int = 7) -> Machine:
     """Fits ``x`` to ``y`` (0 or 1).  Features of fewer than ``least`` rows get no weight: they would only tell rows apart.
-    With ``distinctive``, nor do features whose share of positive rows is within so many standard errors of the overall one
-    (each feature then has to be once in a row)."""
+    With ``distinctive``, nor do features whose share of positive rows is within so many standard errors of the overall one,
+    unless a pair with another feature says what neither does (each feature then has to be once in a row)."""
     rows_of = np.repeat(y, np.diff(x.start))
     seen, pos = np.bincount(x.index, minlength=dims), np.bincount(x.index, rows_of, minlength=dims)
     known = seen >= least
     if distinctive:
         n, share = len(y), y.mean()
         spread = np.sqrt(np.maximum(seen * share * (1 - share) * (1 - seen / n), 1e-9))
-        known &= np.abs(pos - seen * share) >= distinctive * spread
+        marked = np.abs(pos - seen * share) >= distinctive * spread
+        known &= marked | paired(x, y, known, marked)
     here = known[x.index]
     row = np.repeat(np.arange(len(x)), np.diff(x.start))[here]
     filled = np.flatnonzero(np.bincount(row, minlength=len(x)))

@@ -1,8 +1,8 @@
 """Toxicity: a factorisation machine over hashed terms, which learns what pairs of terms say beyond their single weights.
 
 Terms are words and the first four bytes of words (for compounds), each once in a document.  Only terms whose share of toxic
-documents in the sample is at least five standard errors off the overall share get a weight, so that the length of a text
-says nothing.  Trained on the driver on at most ``SAMPLE`` labelled documents (a documented bound), a quarter of which only
+documents in the sample is at least five standard errors off the overall share get a weight, and those of pairs that say what
+neither term does (a mild insult with the mention of a group), so that the length of a text says nothing.  Trained on the driver on at most ``SAMPLE`` labelled documents (a documented bound), a quarter of which only
 sets the threshold.  Scoring is a scan without a shuffle.
 
 Cases: a text that is null or has no word scores 0 and isn't toxic.  Without labels of both classes there is no model:

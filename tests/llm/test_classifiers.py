@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 
@@ -28,6 +30,27 @@ def test_learns_what_no_sum_of_weights_can_say():
     assert ((m.score(x) > 0.5) == y).mean() > 0.95
 
 
+def test_toxic_by_a_pair_of_terms_that_are_clean_alone(spark):
+    rng = random.Random(5)
+    filler = [a + b for a in "kiptos merfal dungre walnor beshti cordel zafrin hupmol".split() for b in "ar el is on um".split()]
+    docs, toxic = [], []
+    for i in range(1200):
+        ws = rng.choices(filler, k=rng.randint(8, 40))
+        group, insult = rng.random() < 0.3, rng.random() < 0.3
+        slur = not group and not insult and rng.random() < 0.43  # so that the share of toxic ones is 0.3 with and without either
+        ws += ["groupish"] * group + ["mildly"] * insult + ["slurword"] * slur
+        rng.shuffle(ws)
+        docs.append((i, " ".join(ws)))
+        toxic.append((i, int(group and insult or slur)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    machine = toxicity.fit(df, spark.createDataFrame([t for t in toxic if t[0] % 4], "doc_id bigint, toxic int"))
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.score(df, machine).collect()}
+    held = [(i, t) for i, t in toxic if i % 4 == 0]
+    assert np.mean([got[i] == bool(t) for i, t in held]) > 0.97
+    pair = [i for i, t in held if t and "slurword" not in docs[i][1]]
+    assert len(pair) > 15 and np.mean([got[i] for i in pair]) > 0.9
+
+
 # Some toxic labels are on documents without any sign of it.
 @pytest.mark.parametrize(("module", "label", "least"), [(quality, "quality", 0.9), (toxicity, "toxic", 0.85)])
 def test_held_out_accuracy(spark, module, label, least):
