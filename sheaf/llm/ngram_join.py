@@ -18,9 +18,10 @@ Plan, each step one shuffle on even keys:
    share units too.  A unit multiplies incidence matrices, so that a group of n near copies ships n * n / TILE sets, not n * n.
 
 Sets are named by 64-bit digests (at 10**10 sets, about three pairs of sets are expected to share a name).  Tokens are hashes
-of 48 bits within their bucket: two of one pair of documents of 1000 words collide with a chance of about 10**-10.  The result is the whole join in a form without its quadratic part: a row for each pair of different sets
+of 48 bits within their bucket: two of one pair of documents of 1000 words collide with a chance of about 10**-10.  The
+result of ``ngram_join`` is the whole join in a form without its quadratic part: a row for each pair of different sets
 that reach the threshold, as (least id of either), and for each document whose set equals that of a lesser id a row to the
-least id, with Jaccard 1.  The pairs of documents are those of their sets.
+least id, with Jaccard 1.  The pairs of documents are those of their sets; ``all_pairs`` has a row for each of them.
 
 Cases: null and empty texts, and texts without a word, have no n-gram and no partner.  A text of fewer than n words has one
 n-gram, the run of all its words.  Rows with a null id are left out, as they couldn't be named.  Rows repeated under one id
@@ -163,7 +164,7 @@ def frequencies(parts: int):
             out = []
             linked = (ids[order] != ids[lead]) & firsts[order]
             if linked.any():
-                out.append((COPIES, bucket % parts, bucket, b"", b"", b"", ids[order][linked].tobytes(), b"", ids[lead][linked].tobytes()))
+                out.append((COPIES, bucket % parts, bucket, names[order][linked].tobytes(), b"", b"", ids[order][linked].tobytes(), b"", ids[lead][linked].tobytes()))
             kept = np.zeros(len(names), bool)
             kept[order[new]] = True
             here = kept[owner]
@@ -197,9 +198,9 @@ def prefixes(t: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in by_bucket(batches):
             for r in (r for r in group if r["kind"] == COPIES):
-                ids, lead = np.frombuffer(r["names"], np.int64), np.frombuffer(r["ids"], np.int64)
+                names, ids, lead = (np.frombuffer(r[c], np.int64) for c in ("tokens", "names", "ids"))
                 none = [None] * len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([COPIES] * len(ids), pa.int32()), pa.array(none, pa.int64()), pa.array(ids), *(pa.array(none, SET.field(i).type) for i in range(3, 6)), pa.array(lead)], schema=SET)
+                yield pa.RecordBatch.from_arrays([pa.array([COPIES] * len(ids), pa.int32()), pa.array(names), pa.array(ids), *(pa.array(none, SET.field(i).type) for i in range(3, 6)), pa.array(lead)], schema=SET)
             group = [r for r in group if r["kind"] == SETS]
             if not group:
                 continue
@@ -234,7 +235,7 @@ def _schema(s: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in s)
 
 
-PAIR = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())])
+PAIR = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64()), ("name_a", pa.int64()), ("name_b", pa.int64())])
 
 
 def _meets(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -303,9 +304,8 @@ def verify(t: float):
             i, j, ratio = matches(t, left, left if same else right, same)
             right = left if same else right
             for x, y, r in zip(i, j, ratio, strict=True):
-                p, q = left[x]["doc_id"], right[y]["doc_id"]
-                if p != q:
-                    out.append((min(p, q), max(p, q), float(r)))
+                p, q = sorted(((s["doc_id"], s["name"]) for s in (left[x], right[y])))
+                out.append((p[0], q[0], float(r), p[1], q[1]))
 
         def batch() -> pa.RecordBatch:
             done = pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*out, strict=True), PAIR, strict=True)], schema=PAIR)
@@ -329,15 +329,16 @@ def verify(t: float):
     return run
 
 
-def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """(doc_a, doc_b, jaccard): all pairs of different sets of at least the threshold, and the links between equal sets."""
+def _joined(docs: DataFrame, n: int, threshold: float, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_a, doc_b, jaccard, name_a, name_b): all pairs of different sets of at least the threshold, also of one id; and
+    (doc_a, doc_b, name): the links between documents of equal sets."""
     spark = docs.sparkSession
     parts = min(common.partitions(spark), MOST_BUCKETS)
     texts = common.own(docs, "doc_id", "text").where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), common.lowered(F.col("text")).alias("text"))
     tokens = common.placed(texts.transform(kernel.arrow, scan(n, parts), _schema(SCAN)), "bucket", parts).sortWithinPartitions("bucket")
     shared = common.placed(tokens.transform(kernel.arrow, frequencies(parts), _schema(SHARED)), "bucket", parts).sortWithinPartitions("bucket")
     found = common.cut(shared.transform(kernel.arrow, prefixes(threshold), _schema(SET)))
-    links = found.where(F.col("kind") == COPIES).select(F.col("lead").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
+    links = found.where(F.col("kind") == COPIES).select(F.col("lead").alias("doc_a"), F.col("doc_id").alias("doc_b"), "name")
     sets = found.where(F.col("kind") == SETS).select("name", "doc_id", "size", "short", "tokens")
 
     posted = sets.select("name", "size", F.explode(F.slice("tokens", F.lit(1), F.col("short"))).alias("token"))
@@ -360,8 +361,28 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tile:
     unit = ["la", "ta", "lb", "tb"]
     crossing = across.select(F.explode(F.array(F.struct(F.col("a").alias("name"), F.lit(0).alias("side")), F.struct(F.col("b").alias("name"), F.lit(1).alias("side")))).alias("m"), *unit).select("m.name", *unit, "m.side").distinct()
     members = within.unionByName(crossing).join(sets, "name")
-    pairs = members.repartition(parts, *unit).sortWithinPartitions(*unit, "side", "name").select(*unit, "side", "doc_id", "size", "short", "tokens").transform(kernel.arrow, verify(threshold), _schema(PAIR))
-    return pairs.unionByName(links)
+    pairs = members.repartition(parts, *unit).sortWithinPartitions(*unit, "side", "name").select(*unit, "side", "name", "doc_id", "size", "short", "tokens").transform(kernel.arrow, verify(threshold), _schema(PAIR))
+    return pairs, links
+
+
+def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+    """(doc_a, doc_b, jaccard): all pairs of different sets of at least the threshold, and the links between equal sets."""
+    pairs, links = _joined(docs, n, threshold, tile)
+    return pairs.where("doc_a <> doc_b").select("doc_a", "doc_b", "jaccard").unionByName(links.select("doc_a", "doc_b", F.lit(1.0).alias("jaccard")).distinct())
+
+
+def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+    """(doc_a, doc_b, jaccard): all pairs of documents whose sets reach the threshold, equal sets among them; a group of k equal
+    documents has k * (k - 1) / 2 rows.  An id with several texts has a row for each pair of sets."""
+    pairs, links = _joined(docs, n, threshold, tile)
+    members = links.select("name", F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()  # by set: an id may have several
+    x, y = members.alias("x"), members.alias("y")
+    equal = x.join(y, (F.col("x.name") == F.col("y.name")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select(F.col("x.doc_id").alias("doc_a"), F.col("y.doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    for side in ("a", "b"):
+        each = members.select(F.col("name").alias(f"name_{side}"), F.col("doc_id").alias("member"))
+        pairs = pairs.join(each, f"name_{side}", "left").withColumn(f"doc_{side}", F.coalesce("member", f"doc_{side}")).drop("member")
+    different = pairs.where("doc_a <> doc_b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
+    return different.unionByName(equal)
 
 
 def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:

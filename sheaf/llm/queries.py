@@ -27,6 +27,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.all_pairs(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.classify(docs, langid.fit(docs))
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_bpe": op3_bpe,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op4_ngram_jaccard_pairs": op4_ngram_jaccard_pairs,
     "op5_language_id": op5_language_id,
     "op6_html_extraction": op6_html_extraction,
     "op7_license_scan": op7_license_scan,
@@ -83,6 +88,17 @@ SQL: dict[str, str] = {
                    FROM k a JOIN k b ON a.t = b.t AND a.rep < b.rep GROUP BY ALL)
         SELECT doc_a, doc_b, i::DOUBLE / (n - i) AS jaccard FROM p WHERE 2 * i >= n - i
         UNION ALL SELECT rep, doc_id, 1.0 FROM g JOIN r USING (s) WHERE doc_id <> rep""",
+    "op4_ngram_jaccard_pairs": r"""
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-/:-@\[-`{-\x7f]+'), lambda x: x <> '') AS ws
+                   FROM documents WHERE doc_id IS NOT NULL),
+             g AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                          ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)) AS s
+                   FROM w WHERE len(ws) > 0),
+             d AS (SELECT row_number() OVER () AS i, doc_id, s FROM g),
+             k AS (SELECT i, doc_id, len(s) AS n, unnest(s) AS t FROM d),
+             p AS (SELECT a.i, b.i, a.doc_id AS doc_a, b.doc_id AS doc_b, a.n + b.n AS n, count(*) AS c
+                   FROM k a JOIN k b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
+        SELECT doc_a, doc_b, c::DOUBLE / (n - c) AS jaccard FROM p WHERE 2 * c >= n - c""",
     "op9_warc": """
         SELECT page_id AS record_id, sha256(html) AS digest, octet_length(encode(html))::BIGINT AS length,
                sha256('WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:' || page_id || '>\r\nWARC-Target-URI: ' || url

@@ -46,6 +46,28 @@ def test_hard_cases(hard, hard_rows):
     assert got == brute.near_pairs(rows)
 
 
+def _pairs(docs: list[tuple]) -> list[tuple]:
+    """A row for each two documents (id, set), plainly."""
+    sets = {(i, frozenset(brute.shingles(brute.words(t), 3))) for i, t in docs if i is not None and brute.words(t)}
+    return sorted((i, j, round(len(a & b) / len(a | b), 9)) for i, a in sets for j, b in sets if i < j and 2 * len(a & b) >= len(a | b))
+
+
+def test_all_pairs_of_documents(spark):
+    text = "a b c d e f g h i j k l m n"
+    other = "q w r t z u"
+    docs = [(5, text), (7, text), (9, text + " o"), (11, text + " o"), (12, text), (20, other), (21, other), (22, other), (23, "alone")]
+    docs += [(3, "one under two texts"), (3, other + " p"), (4, "one under two texts"), (20, other + " p x"), (5, text), (None, text)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = sorted((r["doc_a"], r["doc_b"], round(r["jaccard"], 9)) for r in ngram_join.all_pairs(df).collect())
+    assert got == _pairs(docs)
+    assert (7, 9) in {g[:2] for g in got} and (7, 11) in {g[:2] for g in got} and (21, 22, 1.0) in got
+
+
+def test_all_pairs_of_hard_cases(hard, hard_rows):
+    got = sorted((r["doc_a"], r["doc_b"], round(r["jaccard"], 9)) for r in ngram_join.all_pairs(hard).collect())
+    assert got == _pairs(hard_rows)
+
+
 def test_one_of_each_group_stays(hard, hard_rows):
     kept = ngram_join.drop_near_copies(hard)
     of = brute.components(brute.near_pairs(hard_rows))
