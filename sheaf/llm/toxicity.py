@@ -5,8 +5,8 @@ documents in the sample is at least five standard errors off the overall share g
 neither term does (a mild insult with the mention of a group), so that the length of a text says nothing.  Trained on the driver on at most ``SAMPLE`` labelled documents (a documented bound), a quarter of which only
 sets the threshold.  Scoring is a scan without a shuffle.
 
-Cases: a text that is null or has no word scores 0 and isn't toxic.  Without labels of both classes there is no model:
-scores are null and nothing is toxic.  Repeated rows are scored each; an empty table gives no rows.  Other columns are never
+Cases: a text that is null or has no word scores 0 and isn't toxic.  Without labels of both classes, or without
+a term that tells them apart, there is no model: scores are null and nothing is toxic.  Repeated rows are scored each; an empty table gives no rows.  Other columns are never
 read.
 """
 
@@ -34,6 +34,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> fm.Machine |
         return None
     learn, check = labelled.split(len(y))
     machine = fm.train(x.take(learn), y[learn], HASHED + 1, FACTORS, epochs=8, rate=0.05, least=LEAST, distinctive=DISTINCTIVE)
+    if not machine.linear.any():  # no term tells the classes apart, every score would be the same
+        return None
     machine.threshold = fm.best_threshold(machine.score(x.take(check)), y[check])
     return machine
 

@@ -81,3 +81,10 @@ def test_without_labels_nothing_with_words_is_rejected(spark, hard):
     rows = quality.score(hard, None).collect()
     assert all(r["keep"] == (r["score"] is None) for r in rows)
     assert not any(r["toxic"] for r in toxicity.score(hard, None).collect())
+
+
+@pytest.mark.parametrize("rows", [4, 8, 60])
+def test_labels_that_no_term_tells_apart_mark_nothing(spark, rows):
+    docs = spark.createDataFrame([(i, f"the same words {'and a few' if i % 4 < 2 else 'or others'} each time") for i in range(rows)] + [(None, "clean words")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(rows)], "doc_id bigint, toxic int")
+    assert not any(r["toxic"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect())
