@@ -41,6 +41,19 @@ def _texts(df: DataFrame, key: str) -> DataFrame:
     return common.own(df, key, "text").where(F.col("text").isNotNull()).select(F.col(key).cast("bigint").alias("id"), common.lowered(F.col("text")).alias("text"))
 
 
+def _names(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A text's name: a hash of its words in their order."""
+    count = np.diff(first)
+    named = np.concatenate([[np.uint64(0)], np.cumsum(kernel.mix(hashes + kernel.mix(np.arange(len(hashes), dtype=np.uint64) - np.repeat(first[:-1], count).astype(np.uint64))), dtype=np.uint64)])
+    return kernel.mix((named[first[1:]] - named[first[:-1]]) + count.astype(np.uint64))
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in (s for batch in batches for s in kernel.slices(batch, "text")):
+        hashes, first, _ = kernel.words(*kernel.buffers(b.column(1)))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_names(hashes, first).view(np.int64)), b.column(2)], names=["id", "name", "text_hash"])
+
+
 def _scan(lengths: list[int] | None, n: int, wanted: np.ndarray | None):
     """Rows of a text's runs: of each length in ``lengths`` (None: of n words, or all of a shorter text), those that are
     ``wanted`` (sorted; None: all)."""
@@ -53,8 +66,7 @@ def _scan(lengths: list[int] | None, n: int, wanted: np.ndarray | None):
             data, offsets = kernel.buffers(b.column(1))
             hashes, first, _ = kernel.words(data, offsets)
             count = np.diff(first)
-            named = np.concatenate([[np.uint64(0)], np.cumsum(kernel.mix(hashes + kernel.mix(np.arange(len(hashes), dtype=np.uint64) - np.repeat(first[:-1], count).astype(np.uint64))), dtype=np.uint64)])
-            names = kernel.mix((named[first[1:]] - named[first[:-1]]) + count.astype(np.uint64))
+            names = _names(hashes, first)
             for length in lengths or [n]:
                 runs, start = kernel.shingles(hashes, first, length)
                 owner = np.repeat(np.arange(len(count)), np.diff(start))
@@ -80,7 +92,7 @@ def _scan(lengths: list[int] | None, n: int, wanted: np.ndarray | None):
     return run
 
 
-FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int32()), ("size", pa.int32()), ("containment", pa.float64()), ("position", pa.int32())])
+FOUND = pa.schema([("doc_id", pa.int64()), ("name", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int32()), ("size", pa.int32()), ("containment", pa.float64()), ("position", pa.int32())])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,19 +117,19 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(held) > best:
                     best, where = len(held), hits[low][0]
             if best >= r["need"]:
-                out.append((r["doc_id"], r["item_id"], best, len(inside), best / len(inside), where))
+                out.append((r["doc_id"], r["name"], r["item_id"], best, len(inside), best / len(inside), where))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), FOUND, strict=True)], schema=FOUND)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, matched, size, containment, position): documents and the items that they contain."""
+def _contaminated(docs: DataFrame, benchmark: DataFrame, n: int, threshold: float) -> DataFrame:
+    """What ``contaminated`` returns, and the names of the documents' words."""
     items = common.cut(_texts(benchmark, "item_id").transform(kernel.arrow, _scan(None, n, None), RUNS).withColumn("runs", F.array_sort(F.array_distinct("runs"))).drop("positions").distinct())
     tokens = items.select("span", F.explode("runs").alias("run")).distinct()
     lengths = [r["span"] for r in tokens.select("span").distinct().orderBy("span").collect()]
     texts = _texts(docs, "doc_id")
     if not lengths:
-        return texts.where("false").select(F.col("id").alias("doc_id"), F.lit(0).cast("bigint").alias("item_id"), F.lit(0).alias("matched"), F.lit(0).alias("size"), F.lit(0.0).alias("containment"), F.lit(0).alias("position"))
+        return texts.where("false").select(F.col("id").alias("doc_id"), F.lit(0).cast("bigint").alias("name"), F.lit(0).cast("bigint").alias("item_id"), F.lit(0).alias("matched"), F.lit(0).alias("size"), F.lit(0.0).alias("containment"), F.lit(0).alias("position"))
     if tokens.count() <= BROADCAST_SHINGLES:
         wanted = np.unique(np.array([r["run"] for r in tokens.select("run").collect()], dtype=np.int64).view(np.uint64))
         scanned = texts.transform(kernel.arrow, _scan(lengths, n, wanted), RUNS)
@@ -137,7 +149,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: f
     order = Window.partitionBy("item_key").orderBy("df", "run")
     ranked = common.cut(ranked.withColumn("rank", F.row_number().over(order)).withColumn("prefix", F.count("*").over(Window.partitionBy("item_key")).cast("int") - F.col("need") + 1))
     sets = ranked.groupBy("item_key", "item_id", "length", "span", "need", "prefix").agg(F.array_sort(F.collect_list(F.struct("rank", "run"))).alias("x")).select("item_key", "item_id", "length", "need", "prefix", F.col("x.run").alias("item"))
-    keyed = distinct.select(F.col("id").alias("doc_id"), F.xxhash64("id", "name", "span").alias("doc_key"), "n_words", "span", "positions", "runs")
+    keyed = distinct.select(F.col("id").alias("doc_id"), "name", F.xxhash64("id", "name", "span").alias("doc_key"), "n_words", "span", "positions", "runs")
     candidates = (
         keyed.select("doc_key", "n_words", "span", F.explode(F.array_distinct("runs")).alias("run"))
         .join(ranked.where("rank <= prefix").select("item_key", "run", "need", F.col("span").alias("item_span")), "run")
@@ -145,7 +157,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: f
         .select("doc_key", "item_key")
         .distinct()
     )
-    return candidates.join(keyed, "doc_key").join(sets, "item_key").select("doc_id", "item_id", "length", "span", "need", "prefix", "item", "positions", "runs").transform(kernel.arrow, _windows, "doc_id bigint, item_id bigint, matched int, size int, containment double, position int")
+    return candidates.join(keyed, "doc_key").join(sets, "item_key").select("doc_id", "name", "item_id", "length", "span", "need", "prefix", "item", "positions", "runs").transform(kernel.arrow, _windows, "doc_id bigint, name bigint, item_id bigint, matched int, size int, containment double, position int")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, matched, size, containment, position): documents and the items that they contain."""
+    return _contaminated(docs, benchmark, n, threshold).drop("name")
+
+
+def drop_contaminated_texts(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that contain no benchmark item, all columns as they were; texts under one id, or under null ids, are
+    judged apart."""
+    found = common.cut(_contaminated(docs, benchmark, n, threshold).select("doc_id", "name").distinct())
+    small = found.count() <= BROADCAST_LEAKS
+    leaks = found.select(F.col("doc_id").alias("__id"), F.col("name").alias("__name"))
+    ids = leaks.select("__id").distinct()
+    texts = common.own(docs, "doc_id", "text").where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("id"), common.lowered(F.col("text")).alias("text"), F.xxhash64("text").alias("text_hash"))
+    named = texts.join(F.broadcast(ids) if small else ids, F.col("id").eqNullSafe(F.col("__id")), "left_semi").transform(kernel.arrow, _named, "id bigint, name bigint, text_hash bigint")
+    gone = named.join(F.broadcast(leaks) if small else leaks, F.col("id").eqNullSafe(F.col("__id")) & (F.col("name") == F.col("__name")), "left_semi")
+    gone = common.cut(gone.select(F.col("id").alias("__leaks"), F.col("text_hash").alias("__text")).distinct())
+    gone = F.broadcast(gone) if small else gone
+    return docs.join(gone, docs["doc_id"].cast("bigint").eqNullSafe(gone["__leaks"]) & (F.xxhash64(docs["text"]) == gone["__text"]), "left_anti")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
+import corpus_pipeline
 from sheaf.llm import decontaminate as D
 from tests.llm import brute
 
@@ -48,6 +50,15 @@ def test_hard_cases(spark, hard, hard_rows):
     assert kept.columns == hard.columns and sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(str(i) for i, _ in hard_rows if i not in gone)
 
 
+def test_pipeline_drops_texts_not_ids(spark, hard, hard_rows, tmp_path):
+    items = [(1, hard_rows[4][1]), (2, "new end"), (3, "don't"), (None, "one under two texts")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = corpus_pipeline.benchmark(spark, hard, str(tmp_path))
+    want = [r for r in hard_rows if not brute.contained([r], items)]
+    assert (120, "the other of two texts") in want and (None, None) in want and len(want) < len(hard_rows)
+    assert kept.columns == hard.columns and Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(want)
+
+
 def test_empty(spark, hard, empty):
     none = spark.createDataFrame([], "item_id bigint, text string")
     some = spark.createDataFrame([(1, "a b c d")], "item_id bigint, text string")
