@@ -149,8 +149,6 @@ def _apply(emit_index: bool):
                     if not live:
                         index.insert(digest, doc_id)
                         first = doc_id
-                    elif first is None:
-                        first = doc_id
                     else:
                         op = 2  # a verified hit
                 for column, x in zip(out, (b, b, op, digest, doc_id, first), strict=True):
@@ -171,8 +169,8 @@ def change(keys: DataFrame, index: DataFrame | None = None, delete: bool = False
     """Inserts or deletes the rows of ``keys`` (digest, doc_id), in the order of their ids.
 
     ``index`` is what an earlier call returned in its rows of op -1 (None: an empty index); it must have the same number
-    of ``buckets``.  Rows of the result: op 0 a digest that became live (or, under a null id, met another null id), 2 a copy
-    of ``first_id``, 1 a deletion (``first_id`` null: it wasn't live), -1 a bucket of the new index."""
+    of ``buckets``.  Rows of the result: op 0 a digest that became live, 2 a copy
+    of ``first_id`` (null: of a row with a null id), 1 a deletion (``first_id`` null: it wasn't live), -1 a bucket of the new index."""
     n = buckets or common.partitions(keys.sparkSession)
     rows = keys.select(F.pmod(F.xxhash64("digest"), F.lit(n)).cast("int").alias("bucket"), F.lit(DELETE if delete else INSERT).alias("op"), "digest", "doc_id")
     if index is not None:
@@ -206,7 +204,7 @@ def exact_dedup(docs: DataFrame, buckets: int = 0) -> DataFrame:
 
 def drop_copies(docs: DataFrame, buckets: int = 0) -> DataFrame:
     """The documents without their copies, all columns as they were."""
-    found = common.cut(copies(docs, buckets).groupBy("digest", "doc_id").agg((F.min("first_id") == F.col("doc_id")).alias("one_stays")))
+    found = common.cut(copies(docs, buckets).groupBy("digest", "doc_id").agg(F.min("first_id").eqNullSafe(F.col("doc_id")).alias("one_stays")))
     small = found.count() <= BROADCAST_DIGESTS
     mark = "__digest"
     while mark in docs.columns:

@@ -50,6 +50,13 @@ def test_drop_copies_keeps_one_of_each_and_all_columns(hard, hard_rows):
     assert {t for _, t in got} == {t for _, t in want} and got == want
 
 
+def test_equal_texts_under_null_ids_only(spark):
+    rows = [(None, "one"), (None, "one"), (None, "one"), (None, "two"), (1, "three"), (None, "three"), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter(map(tuple, E.exact_dedup(df).collect())) == Counter((i, *brute.copies(rows)[k]) for k, (i, _) in enumerate(rows))
+    assert Counter(map(tuple, E.drop_copies(df).collect())) == Counter(r for k, r in enumerate(rows) if brute.copies(rows)[k][1])
+
+
 def test_empty(empty):
     assert E.exact_dedup(empty).count() == 0 and E.drop_copies(empty).count() == 0
 
