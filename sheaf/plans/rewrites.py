@@ -42,7 +42,7 @@ def fm_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("slug_nfkd")
 def slug_nfkd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", W.slug(F.substring("text", 1, 200)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", W.slug(F.col("text")).alias("slug"))
 
 
 @query("ingest_deadlines", """SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN DATE '2024-03-01' WHEN 1 THEN DATE '2024-01-11' WHEN 2 THEN DATE '2024-01-10' + (turn * 7)::INTEGER END AS due FROM conversations""")

@@ -43,3 +43,10 @@ def test_pins_and_headers(spark):
     d = spark.createDataFrame([("r.md", "use tool@v1.2.3 now\nor tool 1.3\nnothing"), ("e.py", "# @capability: audit x\nx = 1")], "path string, text string")
     assert [tuple(r) for r in W.pins(d, "tool").orderBy("line").collect()] == [("r.md", 1, "1.2.3"), ("r.md", 2, "1.3")]
     assert [tuple(r) for r in S.headers(d).collect()] == [("e.py", "capability", "audit x")]
+
+
+def test_slug_query_reads_whole_texts(spark, tmp_path):
+    from sheaf.plans import rewrites
+
+    spark.createDataFrame([(1, "- " * 200 + "Été à la mer")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r["slug"] for r in rewrites.slug_nfkd(spark, str(tmp_path)).collect()] == ["ete-a-la-mer"]
