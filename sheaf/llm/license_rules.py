@@ -161,7 +161,7 @@ CDDL-1.0; 60; common development and distribution; \bcommon development and dist
 CDDL-1.1; 60; common development and distribution; \bcommon development and distribution licen[sc]e,?(?: \(cddl\))?,?(?: version| v\.?)? ?1\.1\b
 CDDL; 40; common development and distribution; \bcommon development and distribution licen[sc]e\b
 CPL-1.0; 80; spdx; spdx-license-identifier: *cpl-1\.0
-CPL-1.0; 50; common public license; \bcommon public licen[sc]e(?:,? (?:version|v)? ?1\.0)?\b
+CPL-1.0; 50; common public license,common public licence; \bcommon public licen[sc]e(?:,? (?:version|v)? ?1\.0)?\b
 IPL-1.0; 50; ibm public; \bibm public licen[sc]e(?:,? (?:version|v)? ?1\.0)?\b
 CPAL-1.0; 50; common public attribution; \bcommon public attribution licen[sc]e\b
 Artistic-2.0; 80; spdx; spdx-license-identifier: *artistic-2\.0
@@ -251,10 +251,10 @@ CC; 40; creative commons; \bcreative commons(?: [a-z-]+){0,4} licen[sc]e\b
 Python-2.0; 80; spdx; spdx-license-identifier: *python-2\.0
 PSF-2.0; 80; spdx; spdx-license-identifier: *psf-2\.0
 PSF-2.0; 50; python software foundation; \bpython software foundation licen[sc]e(?: version 2)?\b
-Python; 50; python license; \bpython licen[sc]e(?: 2\.0)?\b
-PHP-3.01; 60; php license; \bphp licen[sc]e,?(?: version| v)? ?3\.01\b
-PHP-3.0; 60; php license; \bphp licen[sc]e,?(?: version| v)? ?3\.0\b
-Ruby; 50; ruby license; \bruby licen[sc]e\b
+Python; 50; python license,python licence; \bpython licen[sc]e(?: 2\.0)?\b
+PHP-3.01; 60; php license,php licence; \bphp licen[sc]e,?(?: version| v)? ?3\.01\b
+PHP-3.0; 60; php license,php licence; \bphp licen[sc]e,?(?: version| v)? ?3\.0\b
+Ruby; 50; ruby license,ruby licence; \bruby licen[sc]e\b
 OpenSSL; 90; openssl; this product includes software developed by the openssl project
 OpenSSL; 50; openssl; \bopenssl licen[sc]e\b
 SSLeay; 90; eric young; this product includes cryptographic software written by eric young
@@ -275,7 +275,7 @@ NCSA; 50; ncsa; \b(?:university of illinois/)?ncsa open source licen[sc]e\b
 PostgreSQL; 80; spdx; spdx-license-identifier: *postgresql\b
 PostgreSQL; 50; postgresql; \bpostgresql licen[sc]e\b
 curl; 80; spdx; spdx-license-identifier: *curl\b
-ICU; 50; icu license; \bicu licen[sc]e\b
+ICU; 50; icu license,icu licence; \bicu licen[sc]e\b
 W3C; 80; spdx; spdx-license-identifier: *w3c\b
 W3C; 50; w3c; \bw3c software(?: notice and)? licen[sc]e\b
 AFL-3.0; 80; spdx; spdx-license-identifier: *afl-3\.0
@@ -288,7 +288,7 @@ OSL; 40; open software license; \bopen software licen[sc]e\b
 ECL-2.0; 60; educational community; \beducational community licen[sc]e,?(?: version| v\.?)? ?2\.0\b
 QPL-1.0; 50; q public; \bq public licen[sc]e\b
 Sleepycat; 50; sleepycat; \bsleepycat licen[sc]e\b
-Vim; 50; vim license; \bvim licen[sc]e\b
+Vim; 50; vim license,vim licence; \bvim licen[sc]e\b
 JSON; 90; for good, not evil; the software shall be used for good, not evil
 Elastic-2.0; 60; elastic license; \belastic licen[sc]e,?(?: version| v)? ?2(?:\.0)?\b
 Elastic; 40; elastic license; \belastic licen[sc]e\b
@@ -322,6 +322,6 @@ proprietary; 60; proprietary; \bproprietary and confidential\b
 all-rights-reserved; 20; all rights reserved; \ball rights reserved\b
 spdx-expression; 20; spdx; spdx-license-identifier: *[a-z0-9.+-]+
 unnamed-license; 20; licensed under; \blicensed under the [a-z][a-z0-9.+ -]{1,60}? licen[sc]e\b
-see-license-file; 20; license; \bsee (?:the )?(?:file )?licen[sc]e(?:\.txt|\.md)?(?: file)? for (?:full |more |license )?(?:details|terms|information)
+see-license-file; 20; license,licence; \bsee (?:the )?(?:file )?licen[sc]e(?:\.txt|\.md)?(?: file)? for (?:full |more |license )?(?:details|terms|information)
 copyright; 20; copyright; \bcopyright (?:\(c\)|©)? ?(?:19|20)[0-9]{2}(?:[-,] ?(?:19|20)[0-9]{2})*\b
 """

@@ -37,6 +37,19 @@ def test_gate_loses_nothing(spark):
         assert licenses.detect(t) == licenses.resolve(licenses.matches(t, licenses.rules()))
 
 
+@pytest.mark.parametrize("text", ["Common Public Licence 1.0", "Python Licence", "PHP Licence 3.01", "PHP Licence, version 3.0", "Ruby Licence", "ICU Licence", "Vim Licence", "see the licence for details"])
+def test_gate_knows_both_spellings(text):
+    for t in (text, text.lower().replace("licence", "license")):
+        got = licenses.detect(t)
+        assert got and got == licenses.resolve(licenses.matches(t, licenses.rules()))
+
+
+def test_gate_seeks_no_single_spelling():
+    for r in licenses.rules():
+        sought = {max(k.split(), key=len) for k in r.keywords}
+        assert "licen[sc]e" not in r.pattern.pattern or ("license" in sought) == ("licence" in sought), r
+
+
 def test_resolution():
     r = licenses.rules()
     high, low = next(x for x in r if x.priority == 90), next(x for x in r if x.priority == 20)
