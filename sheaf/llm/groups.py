@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm import common
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with ``low``, the least b of each a.  The least is found by an aggregation that begins before the shuffle, and
+    joined back: the many edges of a hub are never one group in one task, as a skewed join is split."""
+    return edges.join(edges.groupBy("a").agg(F.min("b").alias("low")), "a")
+
+
 def _large(edges: DataFrame) -> DataFrame:
     """Every vertex hands its greater neighbours to the least of itself and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = F.least("a", F.min("b").over(Window.partitionBy("a")))
-    return both.withColumn("low", low).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+    both = _with_least(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return both.where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).where("a <> b").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every vertex hands itself and its lesser neighbours to the least of these; ``a`` is the greater of each edge."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = F.min("b").over(Window.partitionBy("a"))
-    handed = down.withColumn("low", low)
+    handed = _with_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     return handed.select("b", "low").unionByName(handed.select(F.col("a").alias("b"), "low")).where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
 
 

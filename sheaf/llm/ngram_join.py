@@ -1,53 +1,61 @@
-"""N-gram Jaccard join: all pairs of documents whose sets of word n-grams have a Jaccard similarity of at least ``threshold``.
+"""N-gram Jaccard join: pairs of documents whose sets of word n-grams have a Jaccard similarity of at least ``threshold``.
 
 A prefix-filtered self join under several global token orders.  A set of size s can reach the threshold t only with sets
 that share one of its first ``s - ceil(t s) + 1`` tokens, under *any* total order of all tokens.  Every order used here
 puts tokens of one set only (document frequency 1) first: they can't be shared, so a set with that many of them is done
 without a look at any other.  The orders differ among shared tokens: order A is by frequency, rare ones first, B and C are by
-two further hashes.  Candidates must share a prefix token under A, under B and under C; then
-their length bound is checked, and what remains is verified by exact intersection.
+two further hashes.  Candidates share a prefix token under A, under B and under C, and their sizes pass the length bound; the
+whole token sets of these alone are then moved, and intersected exactly.
 
 Plan, each step one shuffle on even keys:
-1. scan: n-gram hashes of each text (numpy on Arrow buffers), sent to the token bucket of their hash, packed in blobs;
-2. by token bucket: exact document frequencies; shared tokens go to the bucket of their set.  Documents of one and the same
-   set meet here; they are linked to the least id among them, and only one set goes on;
-3. by set: sizes, prefixes; sets that can't have a partner go.  The survivors are kept by a checkpoint;
-4. every set takes as label the least set that it shares an A-prefix token with: near copies gather under a label without a
-   row for each pair.  Pairs across labels come from a join on A-prefix tokens;
-5. verification by units: the sets of a label in tiles of ``TILE``, a unit for each two tiles; sets that meet across labels
-   share units too.  A unit multiplies incidence matrices, so that a group of n near copies ships n * n / TILE sets, not n * n.
-
-Sets are named by 64-bit digests (at 10**10 sets, about three pairs of sets are expected to share a name).  Tokens are hashes
-of 48 bits within their bucket: two of one pair of documents of 1000 words collide with a chance of about 10**-10.  The
-result of ``ngram_join`` is the whole join in a form without its quadratic part: a row for each pair of different sets
-that reach the threshold, as (least id of either), and for each document whose set equals that of a lesser id a row to the
-least id, with Jaccard 1.  The pairs of documents are those of their sets; ``all_pairs`` has a row for each of them.
+1. first scan: a name and a size for every document's set; tokens that more than a ``SHARE`` of all occurrences are of (at
+   most 2 / SHARE of them, a few MB) and texts of which there are many copies are found.  These hot ones go the way of no
+   other: the tokens are last in order A and aren't gathered, of the texts only one document is tokenised;
+2. second scan: n-gram hashes (numpy on Arrow buffers) go to the token bucket of their hash, packed in blobs; by token bucket
+   document frequencies are counted, and shared tokens go to the bucket of their set; there prefixes are cut.  Sets that can't
+   have a partner go, the others are kept by a checkpoint;
+3. every A-prefix token has as pivot the least set that has it in its prefix.  Two sets that share such a token share its
+   pivot, so sets meet under pivots: near copies gather under one without a row for each pair.  A pair that shares several
+   pivots is judged under the least;
+4. the sets of a pivot are cut into tiles of ``TILE``, a unit for each two tiles.  Units get sizes and prefixes (32-bit
+   fingerprints, which may add candidates and lose none), and keep the pairs that pass the filters of all three orders;
+5. units get the tokens of what is left in them, and verify those pairs.
+
+Of a unit come out the numbers of links of its sets, and a spanning forest of its links, so results grow with the documents and
+not with the pairs.  Sets are named by 128 bits; tokens keep at least 47 bits of their hash, all 64 from 65,536 buckets on.
+
+``classes`` has a row for each document: ``class_id`` is the least document that it is linked to directly or through others
+(by equal sets or by Jaccard), ``links`` the number of other sets that reach the threshold with its own, ``copies`` the number
+of other documents with the same set.  ``pairs`` has the pairs of different sets, as the least document of each.
 
 Cases: null and empty texts, and texts without a word, have no n-gram and no partner.  A text of fewer than n words has one
 n-gram, the run of all its words.  Rows with a null id are left out, as they couldn't be named.  Rows repeated under one id
-are one document (no row pairs an id with itself).  An empty table gives no rows.  Other columns are never read.
+are one document, rows of different texts under one id too: its links and copies are those of all its sets (also of two that
+are near copies of one another).  An empty table gives no rows.  Other columns are never read.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm import common, groups, kernel
 
 N, THRESHOLD, TILE = 3, 0.5, 256
+#: A token is hot if it is this share of all tokens' occurrences and HOT_LEAST times there; so is a text by HOT_TEXTS.
+SHARE, HOT_LEAST, HOT_TEXTS = 2.0**-18, 1 << 14, 2.0**-12
 #: Up to so many dropped documents' ids are broadcast.
 BROADCAST_DROPPED = 200_000
 #: Bytes of text whose n-grams are packed together.
 PACK = 1 << 23
-#: Token buckets at most, so that a token's bucket and its 48 bits fit in 64.
-MOST_BUCKETS = 1 << 16
+_ORDERS = tuple(np.uint64(k * 0xA24BAED4963EE407 & (1 << 64) - 1) for k in (1, 2))
+#: The place of hot tokens in order A: behind all counted ones.
+_LAST = 1 << 32
 
 
 def _u64(x: bytes) -> np.ndarray:
@@ -59,9 +67,9 @@ def _pack48(x: np.ndarray) -> bytes:
     return b"".join((x >> np.uint64(s)).astype(np.uint16).tobytes() for s in (0, 16, 32))
 
 
-def _unpack48(x: bytes, bucket: int) -> np.ndarray:
+def _unpack48(x: bytes) -> np.ndarray:
     low, middle, high = np.frombuffer(x, np.uint16).reshape(3, -1).astype(np.uint64)
-    return low | middle << np.uint64(16) | high << np.uint64(32) | np.uint64(bucket << 48)
+    return low | middle << np.uint64(16) | high << np.uint64(32)
 
 
 def _pack32(x: np.ndarray) -> bytes:
@@ -78,6 +86,21 @@ def required(size: np.ndarray | int, t: float) -> np.ndarray:
     return np.ceil(np.asarray(size) * t - 1e-9).astype(np.int64)
 
 
+class Buckets:
+    """Token buckets: even ranges of hashes; within its bucket a token is known by 48 bits."""
+
+    def __init__(self, n: int) -> None:
+        self.last, self.width = n - 1, min((1 << 64) // n + 1, (1 << 64) - 1)
+        self.shift = np.uint64(max(0, self.width.bit_length() - 48))
+
+    def split(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        part = np.minimum(tokens // np.uint64(self.width), np.uint64(self.last)).astype(np.int32)
+        return part, (tokens - part.astype(np.uint64) * np.uint64(self.width)) >> self.shift
+
+    def joined(self, part: int, rest: np.ndarray) -> np.ndarray:
+        return np.uint64(part) * np.uint64(self.width) + (rest << self.shift)
+
+
 def _shredded(rows: int, part: np.ndarray, parts: int, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The columns' values for each part that has some; equal parts stay in order."""
     order = np.argsort(part, kind="stable")
@@ -87,47 +110,136 @@ def _shredded(rows: int, part: np.ndarray, parts: int, columns: list[np.ndarray]
         yield int(p), [c[here] for c in columns]
 
 
-SCAN = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("tokens", "counts", "names", "sizes", "ids", "firsts")])
+def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _first_of(names: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct (name, tail) is first, in their order, and the place of each entry among these."""
+    order = np.lexsort((np.arange(len(names)), tails, names))
+    n, t = names[order], tails[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (n[1:] != n[:-1]) | (t[1:] != t[:-1])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[new], place
+
+
+def _packs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each pack of documents (doc_id, text): ids, sizes of their sets (0: no word), and of those that have one the tokens set by
+    set, names and tails."""
+    sets: list[np.ndarray] = []
+    ids: list[int] = []
+    held = 0
+
+    def packed() -> tuple:
+        size = np.array([len(s) for s in sets], np.int64)
+        some = [s for s in sets if len(s)]
+        tokens = np.concatenate(some) if some else np.zeros(0, np.uint64)
+        begin = (np.cumsum(size) - size)[size > 0]
+        count = size[size > 0].astype(np.uint64)
+        names, tails = ((kernel.mix(np.add.reduceat(kernel.mix(tokens ^ x), begin) + count) if len(begin) else np.zeros(0, np.uint64)) for x in (np.uint64(0), np.uint64(0x5851F42D4C957F2D)))
+        return np.array(ids, np.int64), size, tokens, names, tails
 
+    for part in (s for b in batches for s in kernel.slices(b, "text")):
+        data, offsets = kernel.buffers(part.column(1))
+        grams, start = kernel.shingles(*kernel.words(data, offsets)[:2], n)
+        sets += [np.unique(grams[start[i] : start[i + 1]]) for i in range(part.num_rows)]
+        ids += part.column(0).to_pylist()
+        held += len(data)
+        if held >= PACK:
+            yield packed()
+            sets, ids, held = [], [], 0
+    if ids:
+        yield packed()
 
-def scan(n: int, buckets: int):
-    """Of each pack of documents and token bucket: tokens set by set, and of each set how many, its name, its size, its id, and
-    whether the bucket has the set's least token."""
 
-    def packed(sets: list[np.ndarray], ids: list[int]) -> Iterator[pa.RecordBatch]:
-        if not sets:
-            return
-        sizes = np.array([len(s) for s in sets], dtype=np.int32)
-        tokens, begin = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        names = kernel.mix(np.add.reduceat(kernel.mix(tokens), begin) + sizes.astype(np.uint64))
-        owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
-        width = (1 << 64) // buckets + 1
-        part = (tokens // np.uint64(width)).astype(np.int32)
-        tokens = (tokens - part.astype(np.uint64) * np.uint64(width)) >> np.uint64(max(0, width.bit_length() - 48))
-        at = part[begin]
-        keys = np.array(ids, dtype=np.int64)
-        out = []
-        for p, (tok, own) in _shredded(len(tokens), part, buckets, [tokens, owner]):
-            there, many = np.unique(own, return_counts=True)
-            out.append((p, _pack48(tok), _pack32(many), names[there].tobytes(), _pack32(sizes[there]), keys[there].tobytes(), (at[there] == p).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), SCAN, strict=True)], schema=SCAN)
+FIRST = pa.schema([("kind", pa.int32()), ("name", pa.int64()), ("tail", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64())])
+DOC, TOKEN, TOTAL = 0, 1, 2
+
+
+def first_scan(n: int):
+    """Names and sizes of all documents' sets; tokens that a pack has three times at least and is not too poor in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: list[np.ndarray] = []
-        ids: list[int] = []
-        held = 0
-        for part in (s for b in batches for s in kernel.slices(b, "text")):
-            data, offsets = kernel.buffers(part.column(1))
-            grams, start = kernel.shingles(*kernel.words(data, offsets)[:2], n)
-            for i, doc in enumerate(part.column(0).to_pylist()):
-                if start[i + 1] > start[i]:
-                    sets.append(np.unique(grams[start[i] : start[i + 1]]))
-                    ids.append(doc)
-            held += len(data)
-            if held >= PACK:
-                yield from packed(sets, ids)
-                sets, ids, held = [], [], 0
-        yield from packed(sets, ids)
+        for ids, size, tokens, names, tails in _packs(batches, n):
+            none = np.zeros(len(ids), np.int64)
+            name, tail = none.copy(), none.copy()
+            name[size > 0], tail[size > 0] = names.view(np.int64), tails.view(np.int64)
+            often, count = np.unique(tokens, return_counts=True)
+            hot = count >= max(3, len(tokens) * SHARE / 2)
+            often, count = often[hot].view(np.int64), count[hot]
+            zero = np.zeros(len(often) + 1, np.int64)
+            columns = [
+                np.concatenate([np.full(len(ids), DOC), np.full(len(often), TOKEN), [TOTAL]]), np.concatenate([name, often, [0]]), np.concatenate([tail, zero]),
+                np.concatenate([size, count, [len(tokens)]]), np.concatenate([ids, zero]),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, FIRST, strict=True)], schema=FIRST)
+
+    return run
+
+
+class Hot:
+    """Tokens that are too frequent to be gathered, in the order of their hashes, with their places in order A; and the texts with
+    many copies, with the document that stands for each."""
+
+    def __init__(self, tokens: list[tuple[int, int]], texts: list[tuple[int, int, int]]) -> None:
+        rows = sorted((t & (1 << 64) - 1, n) for t, n in tokens)
+        self.tokens = np.array([t for t, _ in rows], np.uint64)
+        self.place = np.empty(len(rows), np.int64)
+        self.place[np.lexsort((self.tokens, np.array([n for _, n in rows], np.int64)))] = _LAST + np.arange(len(rows))
+        self.texts = {(name, tail): doc for name, tail, doc in texts}
+
+    def at(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which tokens are hot, and where each (of those) is in the list."""
+        if not len(self.tokens):
+            return np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        return self.tokens[at] == tokens, at
+
+
+def hottest(first: DataFrame, share: float = SHARE, least: int = HOT_LEAST) -> Hot:
+    """At most 2 / ``share`` tokens, among them all that are ``share`` of all occurrences; at most 1 / HOT_TEXTS texts."""
+    counts = first.where(F.col("kind") != TOKEN).agg(F.sum(F.when(F.col("kind") == TOTAL, F.col("n"))).alias("t"), F.count_if(F.col("kind") == DOC).alias("d")).first()
+    total = counts["t"] or 0
+    tokens = first.where(F.col("kind") == TOKEN).groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= max(least, total * share / 2))
+    texts = first.where((F.col("kind") == DOC) & (F.col("n") > 0)).groupBy("name", "tail").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id")).where(F.col("k") >= max(least, counts["d"] * HOT_TEXTS))
+    return Hot([(r["name"], r["n"]) for r in tokens.collect()], [(r["name"], r["tail"], r["doc_id"]) for r in texts.collect()])
+
+
+SCAN = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("of", pa.int32())] + [(c, pa.binary()) for c in ("tokens", "frequency", "counts", "names", "tails", "sizes")])
+TOKENS, HOME, SETS = 0, 1, 2
+
+
+def second_scan(n: int, buckets: int, sent):
+    """By token bucket the tokens set by set, with the names of the sets (kind TOKENS); by bucket of sets their names, sizes and
+    hot tokens (kind HOME)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, to = sent.value, Buckets(buckets)
+        for ids, size, tokens, names, tails in _packs(batches, n):
+            ids, size = ids[size > 0], size[size > 0]
+            if not len(ids):
+                continue
+            stays = np.ones(len(ids), bool)
+            if hot.texts:
+                stays = np.array([hot.texts.get(k, i) == i for k, i in zip(zip(names.view(np.int64).tolist(), tails.view(np.int64).tolist(), strict=True), ids.tolist(), strict=True)])
+            owner = np.repeat(np.arange(len(ids)), size)
+            tokens, owner = tokens[stays[owner]], owner[stays[owner]]
+            is_hot, at = hot.at(tokens)
+            out = []
+            many = np.bincount(owner[is_hot], minlength=len(ids))
+            begin, hots = np.cumsum(many) - many, at[is_hot]
+            here = np.flatnonzero(stays)
+            for p, (own,) in _shredded(len(here), (names[here] % np.uint64(buckets)).astype(np.int32), buckets, [here]):
+                k = np.arange(int(many[own].sum())) + np.repeat(begin[own] - (np.cumsum(many[own]) - many[own]), many[own])
+                out.append((HOME, p, -1, _pack32(hots[k]), b"", _pack32(many[own]), names[own].tobytes(), tails[own].tobytes(), _pack32(size[own])))
+            part, rest = to.split(tokens[~is_hot])
+            for p, (tok, own) in _shredded(len(rest), part, buckets, [rest, owner[~is_hot]]):
+                there, many_ = np.unique(own, return_counts=True)
+                out.append((TOKENS, p, p, _pack48(tok), b"", _pack32(many_), names[there].tobytes(), tails[there].tobytes(), b""))
+            if out:
+                yield _batch(out, SCAN)
 
     return run
 
@@ -140,36 +252,30 @@ def by_bucket(batches: Iterator[pa.RecordBatch], column: str = "bucket") -> Iter
 
 
 def _stacked(group: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The owners of all rows' tokens as places in the joined lists of sets; the joined names, sizes and ids."""
-    owner = np.repeat(np.arange(sum(len(r["names"]) // 8 for r in group)), np.concatenate([_unpack32(r["counts"]) for r in group]))
-    return owner, np.concatenate([_u64(r["names"]) for r in group]), np.concatenate([_unpack32(r["sizes"]) for r in group]), np.concatenate([np.frombuffer(r["ids"], np.int64) for r in group])
-
-
-SHARED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("of", pa.int32())] + [(c, pa.binary()) for c in ("tokens", "frequency", "counts", "names", "sizes", "ids")])
-COPIES, SETS = 0, 1
+    """How many tokens each entry of all rows has; the owners of all tokens as places in the joined lists of entries; names and
+    tails."""
+    counts = np.concatenate([_unpack32(r["counts"]) for r in group])
+    return counts, np.repeat(np.arange(len(counts)), counts), np.concatenate([_u64(r["names"]) for r in group]), np.concatenate([_u64(r["tails"]) for r in group])
 
 
 def frequencies(parts: int):
-    """By token bucket: links between documents of one set (kind COPIES), shared tokens by the bucket of their set (kind SETS)."""
+    """By token bucket: shared tokens, with their frequencies, by the bucket of their set (kind SETS).  Other rows pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, group in by_bucket(batches):
-            owner, names, sizes, ids = _stacked(group)
-            tokens = np.concatenate([_unpack48(r["tokens"], bucket) for r in group])
-            firsts = np.concatenate([np.frombuffer(r["firsts"], bool) for r in group])
+            homes = [tuple(r.values()) for r in group if r["kind"] == HOME]
+            if homes:
+                yield _batch(homes, SCAN)
+            group = [r for r in group if r["kind"] == TOKENS]
+            if not group:
+                continue
+            _, owner, names, tails = _stacked(group)
+            tokens = np.concatenate([_unpack48(r["tokens"]) for r in group])
             del group
-            order = np.lexsort((ids, names))
-            new = np.concatenate([[True], names[order][1:] != names[order][:-1]])
-            lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]  # the first of its set, for each in this order
-            out = []
-            linked = (ids[order] != ids[lead]) & firsts[order]
-            if linked.any():
-                out.append((COPIES, bucket % parts, bucket, names[order][linked].tobytes(), b"", b"", ids[order][linked].tobytes(), b"", ids[lead][linked].tobytes()))
             kept = np.zeros(len(names), bool)
-            kept[order[new]] = True
-            here = kept[owner]
-            tokens, owner = tokens[here], owner[here]
-            order = np.argsort(tokens)
+            kept[_first_of(names, tails)[0]] = True  # documents of one set count once
+            tokens, owner = tokens[kept[owner]], owner[kept[owner]]
+            order = np.argsort(tokens, kind="stable")
             tokens, owner = tokens[order], owner[order]
             begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
             count = np.diff(np.append(begin, len(tokens)))
@@ -178,54 +284,81 @@ def frequencies(parts: int):
             tokens, owner, df = tokens[shared], owner[shared], df[shared]
             order = np.argsort(owner, kind="stable")
             tokens, owner, df = tokens[order], owner[order], df[order]
-            part = (names[owner] % np.uint64(parts)).astype(np.int32)
-            for p, (tok, own, f) in _shredded(len(tokens), part, parts, [tokens, owner, df]):
+            out = []
+            for p, (tok, own, f) in _shredded(len(tokens), (names[owner] % np.uint64(parts)).astype(np.int32), parts, [tokens, owner, df]):
                 there, many = np.unique(own, return_counts=True)
-                out.append((SETS, p, bucket, _pack48(tok), _pack32(f), _pack32(many), names[there].tobytes(), _pack32(sizes[there]), ids[there].tobytes()))
+                out.append((SETS, p, bucket, _pack48(tok), _pack32(f), _pack32(many), names[there].tobytes(), tails[there].tobytes(), b""))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), SHARED, strict=True)], schema=SHARED)
+                yield _batch(out, SCAN)
 
     return run
 
 
-SET = pa.schema([("kind", pa.int32()), ("name", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int32()), ("short", pa.int32()), ("tokens", pa.list_(pa.int64())), ("lead", pa.int64())])
+SET = pa.schema([("key", pa.int64()), ("name", pa.int64()), ("tail", pa.int64()), ("size", pa.int32()), ("short", pa.int32()), ("tokens", pa.list_(pa.int64())), ("prefixes", pa.binary())])
+
+
+def _print(tokens: np.ndarray) -> np.ndarray:
+    return (kernel.mix(tokens) >> np.uint64(32)).astype(np.uint32)
 
 
-def prefixes(t: float):
-    """By bucket of sets: the sets that can have a partner, with all shared tokens in order A and how many of them its prefix
-    has.  Links between documents pass through."""
+def prefixes(t: float, parts: int, sent):
+    """By bucket of sets: those that can have a partner, with all shared tokens in order A, how many of them a prefix has, and
+    fingerprints of the prefixes under A, B and C."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, to = sent.value, Buckets(parts)
         for _, group in by_bucket(batches):
-            for r in (r for r in group if r["kind"] == COPIES):
-                names, ids, lead = (np.frombuffer(r[c], np.int64) for c in ("tokens", "names", "ids"))
-                none = [None] * len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([COPIES] * len(ids), pa.int32()), pa.array(names), pa.array(ids), *(pa.array(none, SET.field(i).type) for i in range(3, 6)), pa.array(lead)], schema=SET)
-            group = [r for r in group if r["kind"] == SETS]
-            if not group:
-                continue
-            owner, names, sizes, ids = _stacked(group)
-            tokens = np.concatenate([_unpack48(r["tokens"], r["of"]) for r in group])
-            df = np.concatenate([_unpack32(r["frequency"]) for r in group])
+            home, rest = [r for r in group if r["kind"] == HOME], [r for r in group if r["kind"] == SETS]
             del group
-            names, first, place = np.unique(names, return_index=True, return_inverse=True)
-            sizes, ids, owner = sizes[first], ids[first], place[owner]
-            held = np.bincount(owner, minlength=len(names))
-            short = held - required(sizes, t) + 1  # the prefix without the tokens of one set only
+            many, owner, names, tails = _stacked(home)
+            homes = len(names)
+            hots = np.concatenate([_unpack32(r["tokens"]) for r in home])
+            sizes = np.concatenate([_unpack32(r["sizes"]) for r in home])
+            tokens, df = hot.tokens[hots] if len(hots) else np.zeros(0, np.uint64), hot.place[hots] if len(hots) else np.zeros(0, np.int64)
+            if rest:
+                _, more, n2, t2 = _stacked(rest)
+                names, tails = np.concatenate([names, n2]), np.concatenate([tails, t2])
+                first, place = _first_of(names, tails)
+                counted = np.concatenate([to.joined(r["of"], _unpack48(r["tokens"])) for r in rest])
+                once = np.zeros(len(names), bool)
+                once[first] = True  # of documents of one set the first one's hot tokens count
+                here = once[owner]
+                owner = np.concatenate([place[owner[here]], place[more + homes]])
+                tokens, df = np.concatenate([tokens[here], counted]), np.concatenate([df[here], *[_unpack32(r["frequency"]) for r in rest]])
+            else:
+                first, place = _first_of(names, tails)
+                once = np.zeros(len(names), bool)
+                once[first] = True
+                tokens, df, owner = tokens[once[owner]], df[once[owner]], place[owner[once[owner]]]
+            del home, rest
+            size = np.zeros(len(first), np.int64)
+            size[place[:homes]] = sizes
+            names, tails = names[first], tails[first]
+            # Two sets of one name differ in their tails; all but the first get another key.
+            key = names.copy()
+            again = np.concatenate([[False], names[1:] == names[:-1]])
+            key[again] = kernel.mix(names[again] ^ tails[again])
+            short = np.bincount(owner, minlength=len(first)) - required(size, t) + 1  # the prefix without the tokens of one set only
             live = short > 0
-            here = live[owner]
-            tokens, df, owner = tokens[here], df[here], owner[here]
+            tokens, df, owner = tokens[live[owner]], df[live[owner]], owner[live[owner]]
             order = np.lexsort((tokens, df, owner))
-            tokens, df, owner = tokens[order], df[order], owner[order]
-            begin = np.searchsorted(owner, np.arange(len(names) + 1))
-            out = []
-            for i in np.flatnonzero(live):
-                out.append((SETS, names[i : i + 1].view(np.int64)[0], ids[i], sizes[i], short[i], tokens[begin[i] : begin[i + 1]].view(np.int64), None))
-                if len(out) == 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, type=g.type) for x, g in zip(zip(*out, strict=True), SET, strict=True)], schema=SET)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=g.type) for x, g in zip(zip(*out, strict=True), SET, strict=True)], schema=SET)
+            tokens, owner = tokens[order], owner[order]
+            prints, begin = _print(tokens), np.searchsorted(owner, np.arange(len(first) + 1))
+            rank = np.arange(len(owner)) - begin[owner]
+            cut = rank < short[owner]
+            views = [prints[cut]]
+            for k in _ORDERS:
+                o = np.lexsort((kernel.mix(tokens ^ k), owner))
+                views.append(prints[o][cut])
+            alive = np.flatnonzero(live)
+            at = np.cumsum(short[alive]) - short[alive]
+            for low in range(0, len(alive), 2000):
+                some = alive[low : low + 2000]
+                offsets = np.append(begin[some], begin[some[-1] + 1])  # sets in between have no token left
+                listed = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(tokens[offsets[0] : offsets[-1]].view(np.int64)))
+                blobs = [b"".join(v[a : a + s].tobytes() for v in views) for a, s in zip(at[low : low + 2000].tolist(), short[some].tolist(), strict=True)]
+                columns = [key[some].view(np.int64), names[some].view(np.int64), tails[some].view(np.int64), size[some], short[some]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, type=f.type) for c, f in zip(columns, SET, strict=False)), listed, pa.array(blobs, pa.binary())], schema=SET)
 
     return run
 
@@ -235,9 +368,6 @@ def _schema(s: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in s)
 
 
-PAIR = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64()), ("name_a", pa.int64()), ("name_b", pa.int64())])
-
-
 def _meets(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many tokens each set on the left has in common with each on the right."""
     if len(left) * len(right) <= 4:
@@ -264,131 +394,188 @@ def _meets(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def prefix(tokens: np.ndarray, short: int, order: int | None) -> np.ndarray:
-    """The first ``short`` shared tokens, in order A (as they come) or by the hash of that number."""
-    if order is None:
-        return tokens[:short]
-    return tokens[np.argsort(kernel.mix(tokens ^ np.uint64(order * 0xA24BAED4963EE407 & (1 << 64) - 1)))[:short]]
+UNIT = ("pivot", "ta", "tb")
+
+
+def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict], list[dict], bool]]:
+    """The sets of each unit: (unit, left, right, whether these are the same)."""
+    rows = (r for b in batches for r in b.to_pylist())
+    for unit, group in itertools.groupby(rows, key=lambda r: tuple(r[c] for c in UNIT)):
+        sides: tuple[list, list] = ([], [])
+        for r in group:
+            sides[r["side"]].append(r)
+        same = unit[1] == unit[2]
+        yield unit, sides[0], sides[0] if same else sides[1], same
+
+
+MASK = pa.schema([("pivot", pa.int64()), ("ta", pa.int32()), ("tb", pa.int32()), ("side", pa.int32()), ("key", pa.int64()), ("mask", pa.binary())])
+
+
+def candidates(t: float):
+    """Of a unit, the sets that are in a pair that passes the filters of all orders, the length bound, and has its least common
+    pivot here; those on the left with a bit for each on the right."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for unit, left, right, same in by_unit(batches):
+            if not left or not right:
+                continue
+            size = [np.array([r["size"] for r in rows], np.int64) for rows in (left, right)]
+            ok = np.minimum(size[0][:, None], size[1][None]) >= required(np.maximum(size[0][:, None], size[1][None]), t)
+            if same:
+                ok = np.triu(ok, 1)
+            earlier = [[np.array([p for p in r["pivots"] if p < unit[0]], np.int64).view(np.uint64) for r in rows] for rows in (left, right)]
+            if any(map(len, earlier[0])) and any(map(len, earlier[1])):
+                ok &= _meets(*earlier) == 0
+            views = [[np.frombuffer(r["prefixes"], np.uint32).reshape(3, -1) for r in rows] for rows in (left, right)]
+            for order in range(3):
+                if ok.any():
+                    ok &= _meets(*([np.unique(v[order]) for v in vs] for vs in views)) > 0
+            i, j = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+            if same:
+                i = j = np.union1d(i, j)
+            bits = np.packbits(ok[np.ix_(i, j)], axis=1)
+            out += [(*unit, 0, left[k]["key"], bits[n].tobytes()) for n, k in enumerate(i)]
+            if not same:
+                out += [(*unit, 1, right[k]["key"], None) for k in j]
+            if len(out) > 20_000:
+                yield _batch(out, MASK)
+                out = []
+        if out:
+            yield _batch(out, MASK)
 
+    return run
 
-def matches(t: float, left: list[dict], right: list[dict], same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a unit: which pairs pass the three prefix filters, the length bound and the verification, and their Jaccard."""
 
-    if not left or not right:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    size = [np.array([r["size"] for r in rows], dtype=np.int64) for rows in (left, right)]
+def matches(t: float, left: list[dict], right: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs among a unit's candidates that are verified, and their Jaccard."""
+    i, j = np.nonzero(np.stack([np.unpackbits(np.frombuffer(r["mask"], np.uint8), count=len(right)) for r in left]))
     tokens = [[np.asarray(r["tokens"], np.int64).view(np.uint64) for r in rows] for rows in (left, right)]
-    ok = np.minimum(size[0][:, None], size[1][None]) >= required(np.maximum(size[0][:, None], size[1][None]), t)
-    if same:
-        ok = np.triu(ok, 1)
-    for order in (None, 1, 2):
-        if ok.any():
-            ok &= _meets(*([prefix(x, r["short"], order) for x, r in zip(xs, rows, strict=True)] for xs, rows in zip(tokens, (left, right), strict=True))) > 0
-    i, j = np.nonzero(ok)
-    if not len(i):
-        return i, j, np.zeros(0)
-    common_ = _meets(*tokens)[i, j]
-    union = size[0][i] + size[1][j] - common_
-    good = common_ >= t * union - 1e-9
-    return i[good], j[good], common_[good] / union[good]
-
-
-def verify(t: float):
+    if len(i) > len(left) + len(right):
+        met = _meets(*tokens)[i, j]
+    else:  # few pairs
+        met = np.array([len(np.intersect1d(tokens[0][a], tokens[1][b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
+    size = [np.array([r["size"] for r in rows], np.int64) for rows in (left, right)]
+    union = size[0][i] + size[1][j] - met
+    good = met >= t * union - 1e-9
+    return i[good], j[good], met[good] / union[good]
+
+
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
+LINKS = pa.schema([("key", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+
+
+def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least member of each one's component."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+def verify(t: float, pairs: bool):
+    """The pairs of each unit; or how many each set is in, and the least set of the unit that they link it to."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = PAIR if pairs else LINKS
         out: list[tuple] = []
-        key, sides = None, ([], [])
-
-        def flush() -> None:
-            same = key[0] == key[2] and key[1] == key[3]
-            left, right = sides
-            i, j, ratio = matches(t, left, left if same else right, same)
-            right = left if same else right
-            for x, y, r in zip(i, j, ratio, strict=True):
-                p, q = sorted(((s["doc_id"], s["name"]) for s in (left[x], right[y])))
-                out.append((p[0], q[0], float(r), p[1], q[1]))
-
-        def batch() -> pa.RecordBatch:
-            done = pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*out, strict=True), PAIR, strict=True)], schema=PAIR)
-            out.clear()
-            return done
-
-        for r in (r for b in batches for r in b.to_pylist()):
-            k = (r["la"], r["ta"], r["lb"], r["tb"])
-            if k != key:
-                if key is not None:
-                    flush()
-                key, sides = k, ([], [])
-                if len(out) > 20_000:
-                    yield batch()
-            sides[r["side"]].append(r)
-        if key is not None:
-            flush()
+        for _, left, right, same in by_unit(batches):
+            i, j, ratio = matches(t, left, right)
+            if pairs:
+                out += [(left[a]["key"], right[b]["key"], float(r)) for a, b, r in zip(i, j, ratio, strict=True)]
+            else:
+                keys = np.array([r["key"] for r in left] + ([] if same else [r["key"] for r in right]), np.int64)
+                j = j if same else j + len(left)
+                count, root = np.bincount(i, minlength=len(keys)) + np.bincount(j, minlength=len(keys)), _forest(len(keys), i, j)
+                out += [(int(keys[k]), int(count[k]), int(keys[root[k]])) for k in np.flatnonzero(count)]
+            if len(out) > 20_000:
+                yield _batch(out, schema)
+                out = []
         if out:
-            yield batch()
+            yield _batch(out, schema)
 
     return run
 
 
-def _joined(docs: DataFrame, n: int, threshold: float, tile: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_a, doc_b, jaccard, name_a, name_b): all pairs of different sets of at least the threshold, also of one id; and
-    (doc_a, doc_b, name): the links between documents of equal sets."""
+def _sets(docs: DataFrame, n: int, threshold: float, share: float, least: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, name, tail, size) of every document that has an id, size 0 where there is no word; and the sets (SET) that can
+    have a partner."""
     spark = docs.sparkSession
-    parts = min(common.partitions(spark), MOST_BUCKETS)
+    parts = common.partitions(spark)
     texts = common.own(docs, "doc_id", "text").where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), common.lowered(F.col("text")).alias("text"))
-    tokens = common.placed(texts.transform(kernel.arrow, scan(n, parts), _schema(SCAN)), "bucket", parts).sortWithinPartitions("bucket")
-    shared = common.placed(tokens.transform(kernel.arrow, frequencies(parts), _schema(SHARED)), "bucket", parts).sortWithinPartitions("bucket")
-    found = common.cut(shared.transform(kernel.arrow, prefixes(threshold), _schema(SET)))
-    links = found.where(F.col("kind") == COPIES).select(F.col("lead").alias("doc_a"), F.col("doc_id").alias("doc_b"), "name")
-    sets = found.where(F.col("kind") == SETS).select("name", "doc_id", "size", "short", "tokens")
-
-    posted = sets.select("name", "size", F.explode(F.slice("tokens", F.lit(1), F.col("short"))).alias("token"))
-    label = posted.withColumn("least", F.min("name").over(Window.partitionBy("token"))).groupBy("name").agg(F.min("least").alias("label"))
-    tiles = label.groupBy("label").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    place = common.cut(label.join(tiles, "label").select("name", "label", "tiles", F.pmod(F.xxhash64("name"), "tiles").cast("int").alias("tile")))
-
-    within = place.select("name", F.col("label").alias("la"), F.col("label").alias("lb"), "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
-        "name", "la", F.least("tile", "other").alias("ta"), "lb", F.greatest("tile", "other").alias("tb"), (F.col("tile") > F.col("other")).cast("int").alias("side")
-    )
-    labelled = posted.join(place.select("name", "label", "tile"), "name")
-    mixed = Window.partitionBy("token")
-    mixed_only = labelled.withColumn("lo", F.min("label").over(mixed)).withColumn("hi", F.max("label").over(mixed)).where("lo < hi").drop("lo", "hi")
-    x, y = mixed_only.alias("x"), mixed_only.alias("y")
-    across = (
-        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label")) & (F.least("x.size", "y.size") >= F.ceil(F.greatest("x.size", "y.size") * F.lit(threshold) - F.lit(1e-9))))
-        .select(F.col("x.name").alias("a"), F.col("y.name").alias("b"), F.col("x.label").alias("la"), F.col("x.tile").alias("ta"), F.col("y.label").alias("lb"), F.col("y.tile").alias("tb"))
-        .distinct()
+    first = common.cut(texts.transform(kernel.arrow, first_scan(n), _schema(FIRST)))
+    sent = spark.sparkContext.broadcast(hottest(first, share, least))
+    tokens = common.placed(texts.transform(kernel.arrow, second_scan(n, parts, sent), _schema(SCAN)), "bucket", parts).sortWithinPartitions("bucket")
+    shared = common.placed(tokens.transform(kernel.arrow, frequencies(parts), _schema(SCAN)), "bucket", parts).sortWithinPartitions("bucket")
+    sets = common.cut(shared.transform(kernel.arrow, prefixes(threshold, parts, sent), _schema(SET)))
+    return first.where(F.col("kind") == DOC).select("doc_id", "name", "tail", F.col("n").alias("size")), sets
+
+
+def _verified(sets: DataFrame, threshold: float, tile: int, pairs: bool) -> DataFrame:
+    """PAIR or LINKS of the sets."""
+    parts = common.partitions(sets.sparkSession)
+    posted = sets.select("key", F.explode(F.slice("tokens", F.lit(1), F.col("short"))).alias("token"))
+    pivots = posted.groupBy("token").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("token", "pivot")
+    met = posted.join(pivots, "token").select("key", "pivot").distinct().groupBy("key").agg(F.array_sort(F.collect_list("pivot")).alias("pivots"))
+    each = common.cut(met.select("key", "pivots", F.explode("pivots").alias("pivot")))
+    # A pivot under which all sets have the same earlier one has no pair of its own.
+    sizes = each.groupBy("pivot").agg(F.count("*").alias("n"), F.min(F.col("pivots")[0]).alias("lo"), F.max(F.col("pivots")[0]).alias("hi")).where("n > 1 and (lo < hi or lo = pivot)")
+    placed = each.join(sizes.select("pivot", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "pivot").withColumn("tile", F.pmod(F.xxhash64("key"), "tiles").cast("int"))
+    units = placed.select("key", "pivots", "pivot", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
+        "key", "pivots", "pivot", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), (F.col("tile") > F.col("other")).cast("int").alias("side")
     )
-    unit = ["la", "ta", "lb", "tb"]
-    crossing = across.select(F.explode(F.array(F.struct(F.col("a").alias("name"), F.lit(0).alias("side")), F.struct(F.col("b").alias("name"), F.lit(1).alias("side")))).alias("m"), *unit).select("m.name", *unit, "m.side").distinct()
-    members = within.unionByName(crossing).join(sets, "name")
-    pairs = members.repartition(parts, *unit).sortWithinPartitions(*unit, "side", "name").select(*unit, "side", "name", "doc_id", "size", "short", "tokens").transform(kernel.arrow, verify(threshold), _schema(PAIR))
-    return pairs, links
-
-
-def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """(doc_a, doc_b, jaccard): all pairs of different sets of at least the threshold, and the links between equal sets."""
-    pairs, links = _joined(docs, n, threshold, tile)
-    return pairs.where("doc_a <> doc_b").select("doc_a", "doc_b", "jaccard").unionByName(links.select("doc_a", "doc_b", F.lit(1.0).alias("jaccard")).distinct())
-
-
-def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """(doc_a, doc_b, jaccard): all pairs of documents whose sets reach the threshold, equal sets among them; a group of k equal
-    documents has k * (k - 1) / 2 rows.  An id with several texts has a row for each pair of sets."""
-    pairs, links = _joined(docs, n, threshold, tile)
-    members = links.select("name", F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()  # by set: an id may have several
-    x, y = members.alias("x"), members.alias("y")
-    equal = x.join(y, (F.col("x.name") == F.col("y.name")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select(F.col("x.doc_id").alias("doc_a"), F.col("y.doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+
+    def together(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, *UNIT).sortWithinPartitions(*UNIT, "side", "key")
+
+    short = together(units.join(sets.select("key", "size", "prefixes"), "key").select(*UNIT, "side", "key", "size", "prefixes", "pivots"))
+    masks = short.transform(kernel.arrow, candidates(threshold), _schema(MASK))
+    whole = together(masks.join(sets.select("key", "size", "tokens"), "key").select(*UNIT, "side", "key", "mask", "size", "tokens"))
+    return whole.transform(kernel.arrow, verify(threshold, pairs), _schema(PAIR if pairs else LINKS))
+
+
+def _stands(listed: DataFrame) -> DataFrame:
+    """(name, tail, doc, copies): the least document of each set, and how many documents have it."""
+    return listed.where("size > 0").select("doc_id", "name", "tail").distinct().groupBy("name", "tail").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"))
+
+
+def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tile: int = TILE, share: float = SHARE, least: int = HOT_LEAST) -> DataFrame:
+    """(doc_a, doc_b, jaccard): all pairs of different sets that reach the threshold, each as its least document."""
+    listed, sets = _sets(docs, n, threshold, share, least)
+    doc = sets.select("key", "name", "tail").join(_stands(listed), ["name", "tail"]).select("key", "doc")
+    p = _verified(sets, threshold, tile, True)
     for side in ("a", "b"):
-        each = members.select(F.col("name").alias(f"name_{side}"), F.col("doc_id").alias("member"))
-        pairs = pairs.join(each, f"name_{side}", "left").withColumn(f"doc_{side}", F.coalesce("member", f"doc_{side}")).drop("member")
-    different = pairs.where("doc_a <> doc_b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
-    return different.unionByName(equal)
+        p = p.join(doc.select(F.col("key").alias(side), F.col("doc").alias(f"doc_{side}")), side)
+    return p.where("doc_a <> doc_b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
+
+
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tile: int = TILE, share: float = SHARE, least: int = HOT_LEAST) -> DataFrame:
+    """(doc_id, class_id, links, copies) of every document that has an id."""
+    listed, sets = _sets(docs, n, threshold, share, least)
+    stands = common.cut(_stands(listed))
+    found = common.cut(_verified(sets, threshold, tile, False))
+    doc = sets.select("key", "name", "tail").join(stands, ["name", "tail"]).select("key", "doc")
+    a, b = doc.select("key", F.col("doc").alias("a")), doc.select(F.col("key").alias("root"), F.col("doc").alias("b"))
+    spanned = found.where("key <> root").select("key", "root").distinct().join(a, "key").join(b, "root").select("a", "b")
+    # Documents of one set take the class of its least document; only those of several sets link these.
+    distinct = listed.where("size > 0").select("doc_id", "name", "tail").distinct()
+    several = distinct.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    bridges = distinct.join(several, "doc_id").join(stands, ["name", "tail"]).select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
+    parts = groups.components(spanned.unionByName(bridges)).select(F.col("a").alias("doc"), F.col("b").alias("class"))
+    links = found.groupBy("key").agg(F.sum("links").alias("links")).join(sets.select("key", "name", "tail"), "key").select("name", "tail", "links")
+    of = stands.join(parts, "doc", "left").join(links, ["name", "tail"], "left").select("name", "tail", F.coalesce("class", "doc").alias("class"), F.coalesce("links", F.lit(0)).alias("links"), (F.col("copies") - 1).alias("copies"))
+    rows = distinct.join(of, ["name", "tail"]).select("doc_id", "class", "links", "copies").unionByName(listed.where("size = 0").select("doc_id", F.lit(None).cast("bigint").alias("class"), F.lit(0).cast("bigint").alias("links"), F.lit(0).cast("bigint").alias("copies")))
+    return rows.groupBy("doc_id").agg(F.coalesce(F.min("class"), F.col("doc_id")).alias("class_id"), F.sum("links").alias("links"), F.sum("copies").alias("copies"))
 
 
 def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """The documents without those that are linked, directly or through others, with one of a lesser id; all columns as they
     were.  Rows of one id stay or go together; rows with a null id stay."""
-    pairs = ngram_join(docs, n, threshold, tile)
-    gone = common.cut(groups.components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).select(F.col("a").alias("__gone")))
+    gone = common.cut(classes(docs, n, threshold, tile).where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")))
     small = gone.count() <= BROADCAST_DROPPED
     return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].cast("bigint") == gone["__gone"], "left_anti")

@@ -24,11 +24,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
-
-
-def op4_ngram_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.all_pairs(table(spark, sf_dir, "documents"))
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +58,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_bpe": op3_bpe,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
-    "op4_ngram_jaccard_pairs": op4_ngram_jaccard_pairs,
     "op5_language_id": op5_language_id,
     "op6_html_extraction": op6_html_extraction,
     "op7_license_scan": op7_license_scan,
@@ -77,28 +72,25 @@ SQL: dict[str, str] = {
                text IS NULL OR row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AS keep
         FROM documents""",
     "op4_ngram_jaccard_join": r"""
-        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-/:-@\[-`{-\x7f]+'), lambda x: x <> '') AS ws
-                   FROM documents WHERE doc_id IS NOT NULL),
-             g AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
-                          ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)) AS s
-                   FROM w WHERE len(ws) > 0),
-             r AS (SELECT s, min(doc_id) AS rep FROM g GROUP BY s),
-             k AS (SELECT rep, len(s) AS n, unnest(s) AS t FROM r),
-             p AS (SELECT a.rep AS doc_a, b.rep AS doc_b, a.n + b.n AS n, count(*) AS i
-                   FROM k a JOIN k b ON a.t = b.t AND a.rep < b.rep GROUP BY ALL)
-        SELECT doc_a, doc_b, i::DOUBLE / (n - i) AS jaccard FROM p WHERE 2 * i >= n - i
-        UNION ALL SELECT rep, doc_id, 1.0 FROM g JOIN r USING (s) WHERE doc_id <> rep""",
-    "op4_ngram_jaccard_pairs": r"""
-        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-/:-@\[-`{-\x7f]+'), lambda x: x <> '') AS ws
+        WITH RECURSIVE
+             w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-/:-@\[-`{-\x7f]+'), lambda x: x <> '') AS ws
                    FROM documents WHERE doc_id IS NOT NULL),
              g AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
                           ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)) AS s
                    FROM w WHERE len(ws) > 0),
-             d AS (SELECT row_number() OVER () AS i, doc_id, s FROM g),
-             k AS (SELECT i, doc_id, len(s) AS n, unnest(s) AS t FROM d),
-             p AS (SELECT a.i, b.i, a.doc_id AS doc_a, b.doc_id AS doc_b, a.n + b.n AS n, count(*) AS c
-                   FROM k a JOIN k b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
-        SELECT doc_a, doc_b, c::DOUBLE / (n - c) AS jaccard FROM p WHERE 2 * c >= n - c""",
+             r AS (SELECT s, row_number() OVER () AS k, min(doc_id) AS rep, count(*) AS n FROM g GROUP BY s),
+             t AS (SELECT k, len(s) AS n, unnest(s) AS t FROM r),
+             o AS (SELECT a.k AS a, b.k AS b, a.n + b.n AS n, count(*) AS i FROM t a JOIN t b ON a.t = b.t AND a.k <> b.k GROUP BY ALL),
+             p AS (SELECT a, b FROM o WHERE 2 * i >= n - i),
+             m AS (SELECT doc_id, k, rep, n FROM g JOIN r USING (s)),
+             e AS (SELECT x.rep AS a, y.rep AS b FROM p JOIN r x ON x.k = a JOIN r y ON y.k = b
+                   UNION SELECT doc_id, rep FROM m UNION SELECT rep, doc_id FROM m),
+             c(a, b) AS (SELECT a, a FROM e UNION SELECT c.a, e.b FROM c JOIN e ON e.a = c.b),
+             l AS (SELECT a AS k, count(*) AS links FROM p GROUP BY a)
+        SELECT d.doc_id, coalesce(any_value(q.b), d.doc_id) AS class_id, sum(coalesce(links, 0))::BIGINT AS links, sum(coalesce(n - 1, 0))::BIGINT AS copies
+        FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN (SELECT a, min(b) AS b FROM c GROUP BY a) q ON q.a = d.doc_id
+             LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN l ON l.k = m.k
+        GROUP BY d.doc_id""",
     "op9_warc": """
         SELECT page_id AS record_id, sha256(html) AS digest, octet_length(encode(html))::BIGINT AS length,
                sha256('WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:' || page_id || '>\r\nWARC-Target-URI: ' || url

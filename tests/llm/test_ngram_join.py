@@ -2,30 +2,15 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
-from sheaf.llm import groups, ngram_join
+from sheaf.llm import groups, kernel, ngram_join
 from tests.llm import brute
 
 
-def _closed(rows) -> set[tuple[int, int]]:
-    """All pairs of documents, from links between equal sets and pairs of different ones."""
-    equal = brute.components((r["doc_a"], r["doc_b"]) for r in rows if r["jaccard"] == 1.0)
-    members = brute.by(equal, lambda x: equal[x])
-    out = set()
-    for g in members.values():
-        out |= {(a, b) for a in g for b in g if a < b}
-    for r in rows:
-        if r["jaccard"] < 1:
-            for a in members.get(equal.get(r["doc_a"], r["doc_a"]), [r["doc_a"]]):
-                for b in members.get(equal.get(r["doc_b"], r["doc_b"]), [r["doc_b"]]):
-                    out.add((min(a, b), max(a, b)))
-    return out
-
-
-@pytest.mark.parametrize("tile", [2, 256])
-def test_random_against_brute_force(spark, tile):
-    rng = random.Random(tile)
+def _random(seed: int) -> list[tuple]:
+    rng = random.Random(seed)
     base = [[rng.choice("abcdefghij") for _ in range(rng.randint(0, 30))] for _ in range(25)]
     docs = []
     for i in range(160):
@@ -34,38 +19,91 @@ def test_random_against_brute_force(spark, tile):
             if ws:
                 ws[rng.randrange(len(ws))] = rng.choice("abcxyz")
         docs.append((i, " ".join(ws)))
-    got = ngram_join.ngram_join(spark.createDataFrame(docs, "doc_id bigint, text string"), tile=tile).collect()
-    assert _closed(got) == brute.near_pairs(docs)
-    sets = {i: set(brute.shingles(brute.words(t), 3)) for i, t in docs}
-    assert all(abs(r["jaccard"] - len(sets[r["doc_a"]] & sets[r["doc_b"]]) / len(sets[r["doc_a"]] | sets[r["doc_b"]])) < 1e-12 for r in got)
-
-
-def test_hard_cases(hard, hard_rows):
-    rows = [r for r in hard_rows if r[0] is not None and r[0] != 120]
-    got = _closed(ngram_join.ngram_join(hard.where("doc_id <> 120")).collect())
-    assert got == brute.near_pairs(rows)
+    return docs
 
 
 def _pairs(docs: list[tuple]) -> list[tuple]:
-    """A row for each two documents (id, set), plainly."""
+    """A row for each two different sets, as the least documents of either."""
+    least: dict = {}
+    for i, t in docs:
+        if i is not None and brute.words(t):
+            s = frozenset(brute.shingles(brute.words(t), 3))
+            least[s] = min(i, least.get(s, i))
+    rows = [(min(i, j), max(i, j), round(len(a & b) / len(a | b), 9)) for a, i in least.items() for b, j in least.items() if a is not b and i != j and 2 * len(a & b) >= len(a | b)]
+    return sorted(set(rows)) if len(rows) == 2 * len(set(rows)) else sorted(r for k, r in enumerate(sorted(rows)) if k % 2)
+
+
+def _classes(docs: list[tuple]) -> list[tuple]:
+    """(doc_id, class_id, links, copies), plainly."""
     sets = {(i, frozenset(brute.shingles(brute.words(t), 3))) for i, t in docs if i is not None and brute.words(t)}
-    return sorted((i, j, round(len(a & b) / len(a | b), 9)) for i, a in sets for j, b in sets if i < j and 2 * len(a & b) >= len(a | b))
+    different = {s for _, s in sets}
+    links = {s: sum(s != o and 2 * len(s & o) >= len(s | o) for o in different) for s in different}
+    of = brute.components((i, j) for i, s in sets for j, o in sets if 2 * len(s & o) >= len(s | o))
+    out = []
+    for i in {i for i, _ in docs if i is not None}:
+        own = [s for j, s in sets if j == i]
+        out.append((i, of.get(i, i), sum(links[s] for s in own), sum(sum(o == s for _, o in sets) - 1 for s in own)))
+    return sorted(out)
+
+
+def _rows(df) -> list[tuple]:
+    return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+
+
+@pytest.mark.parametrize(("tile", "hot"), [(2, {}), (256, {}), (4, {"share": 1e-9, "least": 20})])
+def test_random_against_brute_force(spark, tile, hot):
+    docs = _random(tile)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert _rows(ngram_join.classes(df, tile=tile, **hot)) == _classes(docs)
+    assert _rows(ngram_join.pairs(df, tile=tile, **hot)) == _pairs(docs)
 
 
-def test_all_pairs_of_documents(spark):
+def test_hot_tokens_and_texts_are_found(spark):
+    docs = [(i, "the same text with many copies") for i in range(30)] + [(100 + i, f"a hot phrase here x{i} y{i} z{i}") for i in range(40)] + [(200 + i, f"u{i} v{i} w{i} a hot phrase here") for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    first = df.transform(kernel.arrow, ngram_join.first_scan(3), ngram_join._schema(ngram_join.FIRST))
+    hot = ngram_join.hottest(first, least=25)
+    assert list(hot.texts.values()) == [0] and len(hot.tokens) == 6  # four of the copies' n-grams, two of the phrase's
+    assert (np.sort(hot.place) == np.arange(6) + ngram_join._LAST).all()
+    for least in (1, 10, 25, 1000):
+        assert _rows(ngram_join.classes(df, least=least)) == _classes(docs)
+
+
+def test_copies_and_several_texts_under_one_id(spark):
     text = "a b c d e f g h i j k l m n"
     other = "q w r t z u"
     docs = [(5, text), (7, text), (9, text + " o"), (11, text + " o"), (12, text), (20, other), (21, other), (22, other), (23, "alone")]
-    docs += [(3, "one under two texts"), (3, other + " p"), (4, "one under two texts"), (20, other + " p x"), (5, text), (None, text)]
+    docs += [(3, "one under two texts"), (3, other + " p"), (4, "one under two texts"), (20, other + " p x"), (5, text), (None, text), (30, None), (30, "!")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    got = sorted((r["doc_a"], r["doc_b"], round(r["jaccard"], 9)) for r in ngram_join.all_pairs(df).collect())
-    assert got == _pairs(docs)
-    assert (7, 9) in {g[:2] for g in got} and (7, 11) in {g[:2] for g in got} and (21, 22, 1.0) in got
+    got = _rows(ngram_join.classes(df))
+    assert got == _classes(docs)
+    assert (7, 5, 1, 2) in got and (9, 5, 1, 1) in got and (4, 3, 0, 1) in got and (22, 3, 2, 2) in got and (30, 30, 0, 0) in got
+    assert _rows(ngram_join.pairs(df)) == _pairs(docs)
+
+
+def test_hard_cases(hard, hard_rows):
+    assert _rows(ngram_join.classes(hard)) == _classes(hard_rows)
+
+
+def test_names_that_collide_are_told_apart(spark):
+    rng = np.random.default_rng(1)
+    names = rng.integers(0, 5, 200, dtype=np.uint64)
+    tails = rng.integers(0, 5, 200, dtype=np.uint64)
+    first, place = ngram_join._first_of(names, tails)
+    pairs = list(zip(names.tolist(), tails.tolist(), strict=True))
+    assert [pairs[i] for i in first] == sorted(set(pairs)) and all(pairs[first[p]] == x and pairs.index(x) == first[p] for p, x in zip(place, pairs, strict=True))
 
 
-def test_all_pairs_of_hard_cases(hard, hard_rows):
-    got = sorted((r["doc_a"], r["doc_b"], round(r["jaccard"], 9)) for r in ngram_join.all_pairs(hard).collect())
-    assert got == _pairs(hard_rows)
+@pytest.mark.parametrize("buckets", [1, 7, 51, 200, 70_000, 1_000_000])
+def test_buckets_hold_every_token(buckets):
+    to = ngram_join.Buckets(buckets)
+    tokens = np.concatenate([np.random.default_rng(buckets).integers(0, 1 << 64, 5000, dtype=np.uint64, endpoint=False), np.array([0, (1 << 64) - 1], np.uint64)])
+    part, rest = to.split(tokens)
+    assert part.min() >= 0 and part.max() < buckets and (rest < np.uint64(1 << 48)).all()
+    assert (ngram_join._unpack48(ngram_join._pack48(rest)) == rest).all()
+    back = np.concatenate([to.joined(int(p), rest[k : k + 1]) for k, p in enumerate(part)])
+    assert (back >> to.shift).astype(object).tolist() == [int(p) * to.width + (int(r) << int(to.shift)) >> int(to.shift) for p, r in zip(part, rest, strict=True)]
+    assert buckets < 1 << 16 or (back == tokens).all()
 
 
 def test_one_of_each_group_stays(hard, hard_rows):
@@ -77,7 +115,7 @@ def test_one_of_each_group_stays(hard, hard_rows):
 
 
 def test_empty(empty):
-    assert ngram_join.ngram_join(empty).count() == 0 and ngram_join.drop_near_copies(empty).count() == 0
+    assert ngram_join.classes(empty).count() == 0 and ngram_join.pairs(empty).count() == 0 and ngram_join.drop_near_copies(empty).count() == 0
 
 
 def test_components(spark):
