@@ -17,12 +17,13 @@ Plan, each step one shuffle on even keys:
 3. every A-prefix token has as pivot the least set that has it in its prefix.  Two sets that share such a token share its
    pivot, so sets meet under pivots: near copies gather under one without a row for each pair.  A pair that shares several
    pivots is judged under the least;
-4. the sets of a pivot are cut into tiles of ``TILE``, a unit for each two tiles.  Units get sizes and prefixes (32-bit
+4. the sets of a pivot are cut into tiles of ``TILE``, a unit for each two tiles.  Units get sizes and prefixes (24-bit
    fingerprints, which may add candidates and lose none), and keep the pairs that pass the filters of all three orders;
 5. units get the tokens of what is left in them, and verify those pairs.
 
 Of a unit come out the numbers of links of its sets, and a spanning forest of its links, so results grow with the documents and
-not with the pairs.  Sets are named by 128 bits; tokens keep at least 47 bits of their hash, all 64 from 65,536 buckets on.
+not with the pairs.  Sets are named by 96 bits; tokens are told apart by
+40 bits and their bucket, so that two of one pair of documents of 500 words are mixed up with a chance of about 10**-9 at 100 buckets.
 
 ``classes`` has a row for each document: ``class_id`` is the least document that it is linked to directly or through others
 (by equal sets or by Jaccard), ``links`` the number of other sets that reach the threshold with its own, ``copies`` the number
@@ -53,6 +54,8 @@ SHARE, HOT_LEAST, HOT_TEXTS = 2.0**-18, 1 << 14, 2.0**-12
 BROADCAST_DROPPED = 200_000
 #: Bytes of text whose n-grams are packed together.
 PACK = 1 << 23
+#: Bytes of a token within its bucket, of one in a set, and of a fingerprint.
+WIDE, HELD, PRINT = 5, 6, 3
 _ORDERS = tuple(np.uint64(k * 0xA24BAED4963EE407 & (1 << 64) - 1) for k in (1, 2))
 #: The place of hot tokens in order A: behind all counted ones.
 _LAST = 1 << 32
@@ -62,14 +65,15 @@ def _u64(x: bytes) -> np.ndarray:
     return np.frombuffer(x, dtype=np.uint64)
 
 
-def _pack48(x: np.ndarray) -> bytes:
-    """The lower 48 bits, in planes."""
-    return b"".join((x >> np.uint64(s)).astype(np.uint16).tobytes() for s in (0, 16, 32))
+def _packed(x: np.ndarray, size: int) -> bytes:
+    """The lowest ``size`` bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
 
-def _unpack48(x: bytes) -> np.ndarray:
-    low, middle, high = np.frombuffer(x, np.uint16).reshape(3, -1).astype(np.uint64)
-    return low | middle << np.uint64(16) | high << np.uint64(32)
+def _unpacked(x: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(x) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(x, np.uint8).reshape(-1, size)
+    return out.view("<u8").ravel().astype(np.uint64)
 
 
 def _pack32(x: np.ndarray) -> bytes:
@@ -87,11 +91,11 @@ def required(size: np.ndarray | int, t: float) -> np.ndarray:
 
 
 class Buckets:
-    """Token buckets: even ranges of hashes; within its bucket a token is known by 48 bits."""
+    """Token buckets: even ranges of hashes; within its bucket a token is known by 40 bits."""
 
     def __init__(self, n: int) -> None:
         self.last, self.width = n - 1, min((1 << 64) // n + 1, (1 << 64) - 1)
-        self.shift = np.uint64(max(0, self.width.bit_length() - 48))
+        self.shift = np.uint64(max(0, self.width.bit_length() - 8 * WIDE))
 
     def split(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         part = np.minimum(tokens // np.uint64(self.width), np.uint64(self.last)).astype(np.int32)
@@ -139,7 +143,7 @@ def _packs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarr
         begin = (np.cumsum(size) - size)[size > 0]
         count = size[size > 0].astype(np.uint64)
         names, tails = ((kernel.mix(np.add.reduceat(kernel.mix(tokens ^ x), begin) + count) if len(begin) else np.zeros(0, np.uint64)) for x in (np.uint64(0), np.uint64(0x5851F42D4C957F2D)))
-        return np.array(ids, np.int64), size, tokens, names, tails
+        return np.array(ids, np.int64), size, tokens, names, tails >> np.uint64(32)
 
     for part in (s for b in batches for s in kernel.slices(b, "text")):
         data, offsets = kernel.buffers(part.column(1))
@@ -233,11 +237,11 @@ def second_scan(n: int, buckets: int, sent):
             here = np.flatnonzero(stays)
             for p, (own,) in _shredded(len(here), (names[here] % np.uint64(buckets)).astype(np.int32), buckets, [here]):
                 k = np.arange(int(many[own].sum())) + np.repeat(begin[own] - (np.cumsum(many[own]) - many[own]), many[own])
-                out.append((HOME, p, -1, _pack32(hots[k]), b"", _pack32(many[own]), names[own].tobytes(), tails[own].tobytes(), _pack32(size[own])))
+                out.append((HOME, p, -1, _pack32(hots[k]), b"", _pack32(many[own]), names[own].tobytes(), _packed(tails[own], 4), _pack32(size[own])))
             part, rest = to.split(tokens[~is_hot])
             for p, (tok, own) in _shredded(len(rest), part, buckets, [rest, owner[~is_hot]]):
                 there, many_ = np.unique(own, return_counts=True)
-                out.append((TOKENS, p, p, _pack48(tok), b"", _pack32(many_), names[there].tobytes(), tails[there].tobytes(), b""))
+                out.append((TOKENS, p, p, _packed(tok, WIDE), b"", _pack32(many_), names[there].tobytes(), _packed(tails[there], 4), b""))
             if out:
                 yield _batch(out, SCAN)
 
@@ -255,7 +259,7 @@ def _stacked(group: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     """How many tokens each entry of all rows has; the owners of all tokens as places in the joined lists of entries; names and
     tails."""
     counts = np.concatenate([_unpack32(r["counts"]) for r in group])
-    return counts, np.repeat(np.arange(len(counts)), counts), np.concatenate([_u64(r["names"]) for r in group]), np.concatenate([_u64(r["tails"]) for r in group])
+    return counts, np.repeat(np.arange(len(counts)), counts), np.concatenate([_u64(r["names"]) for r in group]), np.concatenate([_unpacked(r["tails"], 4) for r in group])
 
 
 def frequencies(parts: int):
@@ -270,7 +274,7 @@ def frequencies(parts: int):
             if not group:
                 continue
             _, owner, names, tails = _stacked(group)
-            tokens = np.concatenate([_unpack48(r["tokens"]) for r in group])
+            tokens = np.concatenate([_unpacked(r["tokens"], WIDE) for r in group])
             del group
             kept = np.zeros(len(names), bool)
             kept[_first_of(names, tails)[0]] = True  # documents of one set count once
@@ -287,23 +291,19 @@ def frequencies(parts: int):
             out = []
             for p, (tok, own, f) in _shredded(len(tokens), (names[owner] % np.uint64(parts)).astype(np.int32), parts, [tokens, owner, df]):
                 there, many = np.unique(own, return_counts=True)
-                out.append((SETS, p, bucket, _pack48(tok), _pack32(f), _pack32(many), names[there].tobytes(), tails[there].tobytes(), b""))
+                out.append((SETS, p, bucket, _packed(tok, WIDE), _pack32(f), _pack32(many), names[there].tobytes(), _packed(tails[there], 4), b""))
             if out:
                 yield _batch(out, SCAN)
 
     return run
 
 
-SET = pa.schema([("key", pa.int64()), ("name", pa.int64()), ("tail", pa.int64()), ("size", pa.int32()), ("short", pa.int32()), ("tokens", pa.list_(pa.int64())), ("prefixes", pa.binary())])
-
-
-def _print(tokens: np.ndarray) -> np.ndarray:
-    return (kernel.mix(tokens) >> np.uint64(32)).astype(np.uint32)
+SET = pa.schema([("key", pa.int64()), ("name", pa.int64()), ("tail", pa.int64()), ("size", pa.int32()), ("short", pa.int32()), ("cold", pa.int32()), ("tokens", pa.binary()), ("prefixes", pa.binary())])
 
 
 def prefixes(t: float, parts: int, sent):
-    """By bucket of sets: those that can have a partner, with all shared tokens in order A, how many of them a prefix has, and
-    fingerprints of the prefixes under A, B and C."""
+    """By bucket of sets: those that can have a partner, with all shared tokens in order A (HELD bytes each), how many of them a
+    prefix has, how many of these aren't hot, and fingerprints of the prefixes under A, B and C."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, to = sent.value, Buckets(parts)
@@ -319,7 +319,7 @@ def prefixes(t: float, parts: int, sent):
                 _, more, n2, t2 = _stacked(rest)
                 names, tails = np.concatenate([names, n2]), np.concatenate([tails, t2])
                 first, place = _first_of(names, tails)
-                counted = np.concatenate([to.joined(r["of"], _unpack48(r["tokens"])) for r in rest])
+                counted = np.concatenate([to.joined(r["of"], _unpacked(r["tokens"], WIDE)) for r in rest])
                 once = np.zeros(len(names), bool)
                 once[first] = True  # of documents of one set the first one's hot tokens count
                 here = once[owner]
@@ -342,23 +342,22 @@ def prefixes(t: float, parts: int, sent):
             live = short > 0
             tokens, df, owner = tokens[live[owner]], df[live[owner]], owner[live[owner]]
             order = np.lexsort((tokens, df, owner))
-            tokens, owner = tokens[order], owner[order]
-            prints, begin = _print(tokens), np.searchsorted(owner, np.arange(len(first) + 1))
-            rank = np.arange(len(owner)) - begin[owner]
-            cut = rank < short[owner]
-            views = [prints[cut]]
+            tokens, df, owner = kernel.mix(tokens[order]) >> np.uint64(64 - 8 * HELD), df[order], owner[order]
+            begin = np.searchsorted(owner, np.arange(len(first) + 1))
+            cut = np.arange(len(owner)) - begin[owner] < short[owner]
+            cold = np.bincount(owner[cut & (df < _LAST)], minlength=len(first))
+            views = [_packed(tokens[cut], PRINT)]
             for k in _ORDERS:
-                o = np.lexsort((kernel.mix(tokens ^ k), owner))
-                views.append(prints[o][cut])
+                views.append(_packed(tokens[np.lexsort((kernel.mix(tokens ^ k), owner))][cut], PRINT))
+            whole = _packed(tokens, HELD)
             alive = np.flatnonzero(live)
             at = np.cumsum(short[alive]) - short[alive]
             for low in range(0, len(alive), 2000):
                 some = alive[low : low + 2000]
-                offsets = np.append(begin[some], begin[some[-1] + 1])  # sets in between have no token left
-                listed = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(tokens[offsets[0] : offsets[-1]].view(np.int64)))
-                blobs = [b"".join(v[a : a + s].tobytes() for v in views) for a, s in zip(at[low : low + 2000].tolist(), short[some].tolist(), strict=True)]
-                columns = [key[some].view(np.int64), names[some].view(np.int64), tails[some].view(np.int64), size[some], short[some]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, type=f.type) for c, f in zip(columns, SET, strict=False)), listed, pa.array(blobs, pa.binary())], schema=SET)
+                held = [whole[HELD * a : HELD * b] for a, b in zip(begin[some].tolist(), begin[some + 1].tolist(), strict=True)]
+                blobs = [b"".join(v[PRINT * a : PRINT * (a + s)] for v in views) for a, s in zip(at[low : low + 2000].tolist(), short[some].tolist(), strict=True)]
+                columns = [key[some].view(np.int64), names[some].view(np.int64), tails[some].view(np.int64), size[some], short[some], cold[some], held, blobs]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, SET, strict=True)], schema=SET)
 
     return run
 
@@ -394,6 +393,54 @@ def _meets(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
+POSTED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
+MET = pa.schema([("key", pa.int64()), ("pivot", pa.int64())])
+
+
+def posted(parts: int):
+    """By bucket of tokens, the prefix tokens (not the hot ones) of some thousand sets (key, cold, tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(low, 4000) for low in range(0, b.num_rows, 4000)):
+                keys, cold = (np.asarray(part.column(i)).astype(np.int64) for i in (0, 1))
+                tokens = _unpacked(b"".join(t[: HELD * c] for t, c in zip(part.column(2).to_pylist(), cold.tolist(), strict=True)), HELD)
+                if not len(tokens):
+                    continue
+                out = []
+                for p, (tok, own) in _shredded(len(tokens), (kernel.mix(tokens) % np.uint64(parts)).astype(np.int32), parts, [tokens, np.repeat(np.arange(len(keys)), cold)]):
+                    there, many = np.unique(own, return_counts=True)
+                    out.append((p, keys[there].tobytes(), _pack32(many), _packed(tok, HELD)))
+                yield _batch(out, POSTED)
+
+    return run
+
+
+def pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By bucket of tokens: each set with the least sets of the tokens that it isn't alone with."""
+    for _, group in by_bucket(batches):
+        keys = np.concatenate([np.repeat(np.frombuffer(r["keys"], np.int64), _unpack32(r["counts"])) for r in group])
+        tokens = np.concatenate([_unpacked(r["tokens"], HELD) for r in group])
+        order = np.lexsort((keys, tokens))
+        keys, tokens = keys[order], tokens[order]
+        begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        count = np.diff(np.append(begin, len(tokens)))
+        both = np.stack([keys, np.repeat(keys[begin], count)], axis=1)[np.repeat(count, count) > 1]
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
+        new = np.ones(len(both), bool)
+        new[1:] = (both[1:] != both[:-1]).any(1)
+        yield pa.RecordBatch.from_arrays([pa.array(both[new, 0]), pa.array(both[new, 1])], schema=MET)
+
+
+def _hot_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, token) of the hot tokens in prefixes (key, cold, tokens, short)."""
+    for b in batches:
+        for key, cold, tokens, short in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if short > cold:
+                got = _unpacked(tokens[HELD * cold : HELD * short], HELD).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), key)), pa.array(got)], names=["key", "token"])
+
+
 UNIT = ("pivot", "ta", "tb")
 
 
@@ -427,7 +474,7 @@ def candidates(t: float):
             earlier = [[np.array([p for p in r["pivots"] if p < unit[0]], np.int64).view(np.uint64) for r in rows] for rows in (left, right)]
             if any(map(len, earlier[0])) and any(map(len, earlier[1])):
                 ok &= _meets(*earlier) == 0
-            views = [[np.frombuffer(r["prefixes"], np.uint32).reshape(3, -1) for r in rows] for rows in (left, right)]
+            views = [[_unpacked(r["prefixes"], PRINT).reshape(3, -1) for r in rows] for rows in (left, right)]
             for order in range(3):
                 if ok.any():
                     ok &= _meets(*([np.unique(v[order]) for v in vs] for vs in views)) > 0
@@ -450,7 +497,7 @@ def candidates(t: float):
 def matches(t: float, left: list[dict], right: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs among a unit's candidates that are verified, and their Jaccard."""
     i, j = np.nonzero(np.stack([np.unpackbits(np.frombuffer(r["mask"], np.uint8), count=len(right)) for r in left]))
-    tokens = [[np.asarray(r["tokens"], np.int64).view(np.uint64) for r in rows] for rows in (left, right)]
+    tokens = [[_unpacked(r["tokens"], HELD) for r in rows] for rows in (left, right)]
     if len(i) > len(left) + len(right):
         met = _meets(*tokens)[i, j]
     else:  # few pairs
@@ -519,9 +566,12 @@ def _sets(docs: DataFrame, n: int, threshold: float, share: float, least: int) -
 def _verified(sets: DataFrame, threshold: float, tile: int, pairs: bool) -> DataFrame:
     """PAIR or LINKS of the sets."""
     parts = common.partitions(sets.sparkSession)
-    posted = sets.select("key", F.explode(F.slice("tokens", F.lit(1), F.col("short"))).alias("token"))
-    pivots = posted.groupBy("token").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("token", "pivot")
-    met = posted.join(pivots, "token").select("key", "pivot").distinct().groupBy("key").agg(F.array_sort(F.collect_list("pivot")).alias("pivots"))
+    packed = common.placed(sets.select("key", "cold", "tokens").transform(kernel.arrow, posted(parts), _schema(POSTED)), "bucket", parts).sortWithinPartitions("bucket")
+    # The sets of a hot token are never together in one task: its least set is found by an aggregation, and joined back.
+    hot = sets.where("short > cold").select("key", "cold", "tokens", "short").transform(kernel.arrow, _hot_tokens, "key bigint, token bigint")
+    least = hot.groupBy("token").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("token", "pivot")
+    both = packed.transform(kernel.arrow, pivots, _schema(MET)).unionByName(hot.join(least, "token").select("key", "pivot"))
+    met = both.groupBy("key").agg(F.array_sort(F.collect_set("pivot")).alias("pivots"))
     each = common.cut(met.select("key", "pivots", F.explode("pivots").alias("pivot")))
     # A pivot under which all sets have the same earlier one has no pair of its own.
     sizes = each.groupBy("pivot").agg(F.count("*").alias("n"), F.min(F.col("pivots")[0]).alias("lo"), F.max(F.col("pivots")[0]).alias("hi")).where("n > 1 and (lo < hi or lo = pivot)")
