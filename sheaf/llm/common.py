@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +18,26 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df``, computed once and kept in the shared checkpoint folder, so that a lost executor loses nothing.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in tests on one machine, is one made."""
-    spark = df.sparkSession
+    _shared(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _shared(spark: SparkSession) -> str:
+    """The application's folder below the shared one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and context.master != "local" and not (context.master or "").startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sheaf-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as a Parquet table in the shared folder, read again."""
+    path = f"{_shared(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def placed(df: DataFrame, key: str, n: int) -> DataFrame:

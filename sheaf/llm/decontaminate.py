@@ -102,9 +102,16 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in b.to_pylist():
             inside = {x: k for k, x in enumerate(r["item"])}
             hits = [(p, inside[x]) for p, x in zip(r["positions"], r["runs"], strict=True) if x in inside]
-            reach, prefix = r["length"] - r["span"], set(range(r["prefix"]))
-            near = [p for p, k in hits if k in prefix]
-            if not any(len({k for p, k in hits if abs(p - q) <= reach}) >= r["need"] for q in near):
+            reach = r["length"] - r["span"]
+            # Positional bound: a good window has a prefix shingle, so only hits within its length of one can be in it.
+            near = np.array([p for p, k in hits if k < r["prefix"]])
+            if not len(near):
+                continue
+            at = np.array([p for p, _ in hits])
+            next_ = np.searchsorted(near, at)
+            close = np.minimum(np.abs(near[np.minimum(next_, len(near) - 1)] - at), np.abs(at - near[np.maximum(next_ - 1, 0)])) <= reach
+            hits = [h for h, c in zip(hits, close.tolist(), strict=True) if c]
+            if len({k for _, k in hits}) < r["need"]:
                 continue
             best, where, low, held = 0, 0, 0, {}
             for p, k in hits:

@@ -11,6 +11,7 @@ rows.  A document without detection has no row.  Spans are in characters.  Other
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -71,14 +72,18 @@ def matches(text: str, tried: list[Rule] | tuple[Rule, ...]) -> list[Found]:
 
 def resolve(found: list[Found]) -> list[Found]:
     """What stays of overlapping detections, by place."""
-    kept: list[Found] = []
+    kept: list[tuple[int, int, int, Found]] = []  # by start
+    longest = 0
     for f in sorted(found, key=lambda f: (-f.rule.priority, f.start - f.end, f.start, f.rule.number)):
-        for k in kept:
-            if f.start < k.end and k.start < f.end and (f.rule.license == k.rule.license or f.rule.priority < k.rule.priority or k.start <= f.start and f.end <= k.end or f.start <= k.start and k.end <= f.end):
+        # None that begins as far before this one as the longest is long can overlap it.
+        low, high = bisect.bisect_left(kept, (f.start - longest,)), bisect.bisect_left(kept, (f.end,))
+        for start, end, _, k in kept[low:high]:
+            if f.start < end and start < f.end and (f.rule.license == k.rule.license or f.rule.priority < k.rule.priority or start <= f.start and f.end <= end or f.start <= start and end <= f.end):
                 break
         else:
-            kept.append(f)
-    return sorted(kept, key=lambda f: (f.start, f.end, f.rule.number))
+            bisect.insort(kept, (f.start, f.end, f.rule.number, f))
+            longest = max(longest, f.end - f.start)
+    return [k[3] for k in kept]
 
 
 def detect(text: str | None) -> list[Found]:

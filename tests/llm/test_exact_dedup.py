@@ -13,19 +13,20 @@ def _digest(i: int) -> bytes:
 
 
 def test_filter_inserts_finds_deletes_and_grows():
-    index, live, rng = E.CuckooIndex(2), {}, random.Random(5)
+    index, live, rng = E.CuckooIndex(2), Counter(), random.Random(5)
     for _ in range(6000):
         i = rng.randrange(1500)
-        if rng.random() < 0.6:
-            assert index.insert(_digest(i), i) == (i not in live)
-            live.setdefault(i, i)
+        if rng.random() < 0.55:
+            assert index.insert(_digest(i), i) == (not live[i])
+            live[i] += 1
         else:
-            assert index.delete(_digest(i)) == (i in live)
-            live.pop(i, None)
+            assert index.delete(_digest(i)) == (live[i] > 0)
+            live[i] = max(0, live[i] - 1)
     assert index.resizes > 3
-    assert all(index.find(_digest(i)) == (i in live, live.get(i)) for i in range(1500))
+    assert all(index.find(_digest(i)) == (live[i] > 0, i if live[i] else None) for i in range(1500))
+    assert len(index.keys) == sum(n > 0 for n in live.values()) and all(index.keys[_digest(i)][1] == n for i, n in live.items() if n)
     again = E.CuckooIndex.from_bytes(index.to_bytes())
-    assert again.keys == index.keys and all(again.maybe(_digest(i)) for i in live)
+    assert again.keys == index.keys and all(again.maybe(d) for d in index.keys)
 
 
 def test_filter_hits_are_verified():
@@ -69,3 +70,29 @@ def test_index_is_carried_on(spark):
     assert index.where("op = 1 and first_id = 2").count() == 1
     last = E.change(keys(2, 3), index, buckets=3)
     assert {(r["op"], r["doc_id"]) for r in last.where("op >= 0").collect()} == {(0, 2), (2, 3)}
+
+
+def test_a_digest_lives_as_long_as_one_of_its_documents(spark):
+    keys = lambda *ids: spark.createDataFrame([(bytearray(_digest(0)), i) for i in ids], "digest binary, doc_id bigint")
+    one = E.change(keys(1, 2), buckets=2).cache()
+    two = E.change(keys(2), one, delete=True, buckets=2).cache()  # a copy goes
+    assert [(r["op"], r["first_id"]) for r in E.change(keys(3), two, buckets=2).where("op >= 0").collect()] == [(2, 1)]
+    three = E.change(keys(1), one, delete=True, buckets=2).cache()  # the one that was kept goes, its copy doesn't
+    assert [(r["op"], r["first_id"]) for r in E.change(keys(3), three, buckets=2).where("op >= 0").collect()] == [(2, 1)]
+    none = E.change(keys(2), three, delete=True, buckets=2).cache()
+    assert [(r["op"], r["first_id"]) for r in E.change(keys(3), none, buckets=2).where("op >= 0").collect()] == [(0, 3)]
+    assert [r["first_id"] for r in E.change(keys(3), none, delete=True, buckets=2).where("op >= 0").collect()] == [None]
+
+
+def test_many_copies_reach_the_index_once_for_each_task(spark):
+    df = spark.range(20_000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'hot' else cast(id as string) end as text").repartition(4)
+    local = E.digests(df).transform(E.kernel.arrow, E._first_here, "digest binary, doc_id bigint, n bigint, same bigint").groupBy("digest").agg({"*": "count", "n": "sum", "doc_id": "min"}).collect()
+    assert max(r["count(1)"] for r in local) <= 4 and sorted(r["sum(n)"] for r in local)[-1] == 6667
+    assert E.exact_dedup(df).where("not keep and first_id = 0").count() == 6666
+
+
+def test_shuffled_instead_of_broadcast(hard, hard_rows, monkeypatch):
+    monkeypatch.setattr(E, "BROADCAST_DIGESTS", -1)
+    got = Counter(map(tuple, E.exact_dedup(hard).collect()))
+    assert got == Counter((i, *brute.copies(hard_rows)[k]) for k, (i, _) in enumerate(hard_rows))
+    assert Counter((r["doc_id"], r["text"]) for r in E.drop_copies(hard).collect()) == Counter(r for k, r in enumerate(hard_rows) if brute.copies(hard_rows)[k][1])

@@ -57,3 +57,30 @@ def test_files(spark, tmp_path):
 def test_empty(spark):
     none = warc.records(_pages(spark).where("false"))
     assert warc.round_trip(none).count() == 0 and warc.store(none)[0].count() == 0
+
+
+def test_damaged_files():
+    one, two = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", b"WARC/1.0\r\nContent-Length: 400\r\n\r\n" + bytes(range(200)) * 2 + b"\r\n\r\n"
+    zipped = gzip.compress(one) + gzip.compress(two)
+    assert [p for _, p in warc.split(zipped)] == [b"abc", bytes(range(200)) * 2]
+    cut = [p for _, p in warc.split(zipped[:-40])]
+    assert cut[0] == b"abc" and len(cut) == 2 and (bytes(range(200)) * 2).startswith(cut[1])
+    assert [p for _, p in warc.split(gzip.compress(one) + b"\x1f\x8b garbage")] == [b"abc"]
+    assert list(warc.split(one + b"WARC/1.0\r\nX: 1\r\n")) == [(b"WARC/1.0\r\nContent-Length: 3\r\n\r\n", b"abc"), (b"WARC/1.0\r\nX: 1\r\n", b"")]
+    for length in (b"", b"Content-Length: x\r\n"):
+        head = b"WARC/1.0\r\n" + length + b"\r\n"
+        assert list(warc.split(head + b"some body\r\n\r\n" + one)) == [(head if length else b"WARC/1.0\r\n\r\n", b"some body"), (b"WARC/1.0\r\nContent-Length: 3\r\n\r\n", b"abc")]
+
+
+def test_http_responses_share_their_payloads(spark):
+    def record(i: int, date: str, body: bytes, kind: str = "response", sep: bytes = b"\r\n\r\n", declared: bytes | None = None) -> tuple:
+        block = b"HTTP/1.1 200 OK\r\nDate: " + date.encode() + sep + body
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha256:{hashlib.sha256(body if declared is None else declared).hexdigest()}\r\nWARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}\r\nContent-Length: {len(block)}\r\n\r\n"
+        return i, bytearray(head.encode()), bytearray(block)
+
+    rows = [record(1, "Mon", b"page \xff\x00"), record(2, "Tue", b"page \xff\x00"), record(3, "Wed", b"other"), record(4, "Thu", b"page \xff\x00", "request"), record(5, "Fri", b"", sep=b""), record(6, "Sat", b"page \xff\x00", declared=b"x")]
+    recs = spark.createDataFrame(rows, "record_id bigint, header binary, payload binary")
+    payloads, headers = warc.archive(recs)
+    assert payloads.count() == 4 and {r["record_id"]: r["declared_ok"] for r in headers.collect()} == {1: True, 2: True, 3: True, 4: False, 5: True, 6: False}
+    back = warc.restore(payloads, headers)
+    assert _rows(back, "record_id", "header", "payload") == _rows(recs, "record_id", "header", "payload") and back.where("verified").count() == 6
