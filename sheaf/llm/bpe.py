@@ -4,7 +4,9 @@ Texts are split into words by the tokenizer's pattern; a word is encoded once in
 worker.  New words are sorted, which lays them out as a trie in depth-first order: a word adds the nodes behind what it has in
 common with the word before.  The state of a node is the last token of the encoding of the path to it.  A node's last token is
 the suffix token of its path that is compatible with the last token of the rest of the path; two tokens are compatible if
-byte-pair merging of their joint bytes gives these two again.  So a prefix that words share is encoded once, and a word's
+byte-pair merging of their joint bytes gives these two again.  Suffix tokens come from an automaton: a node keeps how long the
+longest suffix of its path is that some token begins with, which grows by one byte at most from node to node, so that a walk
+takes time linear in the word, however long.  So a prefix that words share is encoded once, and a word's
 tokens are read off backwards from its node.
 
 Splitting is exact for the pattern that the given vocabularies use (contractions; letters, numbers or other characters with at
@@ -20,6 +22,7 @@ letters, numbers nor white space.  Repeated rows are encoded each; an empty tabl
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
@@ -34,7 +37,9 @@ from sheaf.llm import common, kernel
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A worker keeps the tokens of so many words; beyond, those of words that it then doesn't meet for as long are dropped.
-KEPT_WORDS = 1 << 16
+KEPT_WORDS = 1 << 17
+#: Longer words (bytes) are encoded each time, so that the memory of what is kept is bounded.
+KEPT_BYTES = 64
 #: A worker keeps so many answers about pairs of tokens.
 KEPT_PAIRS = 1 << 18
 #: Bytes of text split at once.
@@ -55,7 +60,8 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.bytes = {r: b for b, r in ranks.items()}
-        self.longest = max(map(len, ranks))
+        self.begins = {b[:n] for b in ranks for n in range(1, len(b) + 1)}
+        self._suffixes: dict[bytes, list[tuple[int, int]]] = {}
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[int, bool] = {}
         self._ends: tuple[dict[int, list], dict[int, list]] = ({}, {})
@@ -112,10 +118,25 @@ class Encoder:
             self._fits[key] = got
         return got
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Tokens of each word; the words are distinct and sorted."""
-        ranks, fits, longest, parts = self.ranks, self.fits, self.longest, self.parts
-        states: list[tuple[int, int]] = []  # of each node on the path: last token, its length
+    def suffixes(self, begin: bytes) -> list[tuple[int, int]]:
+        """Tokens that end a string with which some token begins, and their lengths, the longest first; none that merging never
+        gives."""
+        got = self._suffixes.get(begin)
+        if got is None:
+            got = []
+            for at in range(len(begin)):
+                token = self.ranks.get(begin[at:])
+                if token is not None and (len(begin) - at == 1 or self.parts(token) is not None):
+                    got.append((token, len(begin) - at))
+            if len(self._suffixes) >= KEPT_PAIRS:
+                self._suffixes.clear()
+            self._suffixes[begin] = got
+        return got
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Tokens of each word, as 32-bit numbers; the words are distinct and sorted."""
+        begins, suffixes, fits, known = self.begins, self.suffixes, self.fits, self._fits
+        last, size, reach = array("i"), array("i"), array("i")  # of each node on the path: last token, its length, longest begin
         out, before = [], b""
         for word in words:
             shared = 0
@@ -123,22 +144,32 @@ class Encoder:
                 if x != y:
                     break
                 shared += 1
-            del states[shared:]
+            del last[shared:], size[shared:], reach[shared:]
+            long = reach[-1] if shared else 0
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ranks.get(word[start:end])
-                    if token is None or end - start > 1 and parts(token) is None:
-                        continue
-                    if not start or fits(states[start - 1][0], token):
-                        states.append((token, end - start))
-                        break
+                begin = word[end - long - 1 : end]
+                while begin not in begins:
+                    begin = begin[1:]
+                long = len(begin)
+                for token, length in suffixes(begin):
+                    if length < end:
+                        left = last[end - length - 1]
+                        ok = known.get(left << 32 | token)
+                        if ok is None:
+                            ok = fits(left, token)
+                        if not ok:
+                            continue
+                    last.append(token)
+                    size.append(length)
+                    reach.append(long)
+                    break
             self.nodes += len(word) - shared
-            tokens, at = [], len(word)
+            tokens, at = array("i"), len(word)
             while at:
-                token, length = states[at - 1]
-                tokens.append(token)
-                at -= length
-            out.append(tokens[::-1])
+                tokens.append(last[at - 1])
+                at -= size[at - 1]
+            tokens.reverse()
+            out.append(tokens.tobytes())
             before = word
         return out
 
@@ -236,8 +267,8 @@ class Batches:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.encoder = Encoder(ranks)
-        self.known: dict[bytes, list[int]] = {}
-        self.older: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         ids = max(ranks.values()) + 1
         self.size = np.zeros(ids, np.int64)
         for b, r in ranks.items():
@@ -245,16 +276,23 @@ class Batches:
         self.start = np.cumsum(self.size) - self.size
         self.text = np.frombuffer(b"".join(self.encoder.bytes.get(r, b"") for r in range(ids)), np.uint8)
 
-    def words(self, words: list[bytes]) -> list[list[int]]:
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Tokens of each word, as 32-bit numbers."""
+        if len(self.known) > KEPT_WORDS:
+            self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        if len(known) > KEPT_WORDS:
-            known, older = self.known, self.older = {}, known
+        new = set()
         for w in words:
-            if w not in known and w in older:
-                known[w] = older[w]
-        new = sorted({w for w in words if w not in known})
-        known.update(zip(new, self.encoder.encode(new), strict=True))
-        return [known[w] for w in words]
+            if w not in known:
+                got = older.get(w)
+                if got is None:
+                    new.add(w)
+                else:
+                    known[w] = got
+        new_ = sorted(new)
+        fresh = dict(zip(new_, self.encoder.encode(new_), strict=True))
+        known.update((w, t) for w, t in fresh.items() if len(w) <= KEPT_BYTES)
+        return [fresh[w] if w in fresh else known[w] for w in words]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All tokens, and the first token of each text (one entry more than texts)."""
@@ -270,8 +308,8 @@ class Batches:
             at = np.concatenate([at, odd])
         whole = data.tobytes()
         tokens = self.words([whole[b:e] for b, e in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
-        size = np.array([len(t) for t in tokens], np.int64)
-        pool = np.fromiter(chain.from_iterable(tokens), np.int32, int(size.sum()))
+        size = np.fromiter(map(len, tokens), np.int64, len(tokens)) // 4
+        pool = np.frombuffer(b"".join(tokens), np.int32)
         counts = size[which]
         out = pool[spread((np.cumsum(size) - size)[which], counts)]
         return out, np.concatenate([[0], np.cumsum(counts)])[first]

@@ -4,12 +4,13 @@ Every DOM node has its characters C, tags T, and characters LC and tags LT withi
 density is C/T * log_b(C/LC * T/LT) with b = ln(C/(C-LC) * LC + LCbody/Cbody * C + e), where divisors of 0 count as 1 and ln b
 is at least ``FLOOR``; a node without characters has density 0.  The sum of a node's children's densities says how much dense
 content is right below it; inline elements are part of the text that they are in and don't count there.  The node of the greatest sum within the body is selected (of equal ones the first), the threshold
-is the least density on the path from it to the body, and block subtrees in it whose density is below the threshold are left
-out.  Pages are parsed in Arrow batches, a scan without a shuffle.
+is the least density on the path from it to the body, and subtrees in it of elements of layout (``_LAYOUT``) whose density is
+below the threshold are left out: headings, paragraphs and what is inline stay, as a short one isn't clutter for being short.  Pages are parsed in Arrow batches, a scan without a shuffle.
 
-Parsing: tags, comments and raw text (script, style and the like are no text) are found by one regular expression; void
-elements have no content; ``p``, ``li`` and the like end where the next one begins; an end tag ends what it names and all
-within, and is ignored where nothing open has its name.
+Parsing takes time linear in the page: tags, comments and raw text (script, style and the like are no text) are found by one
+regular expression; void elements have no content; ``p``, ``li`` and the like end where the next one begins; an end tag ends
+what it names and all within, and is ignored where nothing open has its name.  A tag that doesn't close, or has a quote that
+doesn't, is text.
 
 Cases: null and empty pages give a null text; a page without any tag gives its text whole.  Repeated rows are extracted each;
 an empty table gives no rows.  Other columns are never read.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from sheaf.llm import common, kernel
 
 FLOOR = 0.5
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe svg math".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul br".split())
@@ -40,65 +41,101 @@ _ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt
 _CLOSES_P = _BLOCK - {"body", "br", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
 
+def _closing(page: str, start: int) -> set[int]:
+    """The places from ``start`` on of all ``<`` that a ``>`` outside of quotes follows, in one pass from the end."""
+    in_tag = in_double = in_single = False  # whether, read from here on in that state, a tag closes
+    out = set()
+    for m in reversed(list(re.compile("[<>\"']").finditer(page, start))):
+        c = m[0]
+        if c == "<":
+            if in_tag:
+                out.add(m.start())
+        elif c == ">":
+            in_tag = True
+        elif c == '"':
+            in_tag, in_double = in_double, in_tag
+        else:
+            in_tag, in_single = in_single, in_tag
+    return out
+
+
 class Dom:
     """Nodes in document order, a parent before its children; texts belong to nodes.  Node 0 is the document."""
 
     def __init__(self, page: str) -> None:
         self.tag, self.parent, self.items, self.title = ["#document"], [-1], [[]], ""
-        stack, at, size = [0], 0, len(page)
+        self.stack: list[int] = [0]
+        self.open: dict[str, list[int]] = {}  # of each name, where in the stack it is open
+        at, size, last = 0, len(page), page.rfind(">")
+        closing: set[int] | None = None
 
         def text(s: str) -> None:
             if s and not s.isspace():
-                self.items[stack[-1]].append(html.unescape(s) if "&" in s else s)
+                self.items[self.stack[-1]].append(html.unescape(s) if "&" in s else s)
             elif s:
-                self.items[stack[-1]].append(" ")
+                self.items[self.stack[-1]].append(" ")
 
         while at < size:
-            m = _TAG.search(page, at)
+            m, begin = None, page.find("<", at)
+            while begin >= 0:
+                comment = page.startswith("<!--", begin)
+                if begin > last and not comment:  # nothing closes any more
+                    begin = page.find("<!--", begin)
+                    continue
+                if closing is None or comment or page[begin + 1 : begin + 2] in ("!", "?") or begin in closing:
+                    m = _TAG.match(page, begin)
+                    if m:
+                        break
+                    if closing is None and page[begin + 1 : begin + 2].isalpha():
+                        closing = _closing(page, begin)
+                begin = page.find("<", begin + 1)
             if not m:
                 text(page[at:])
                 break
-            text(page[at : m.start()])
+            text(page[at:begin])
             at = m.end()
             if not m[2]:
                 continue
             name = m[2].lower()
             if m[1]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] == name:
-                        del stack[depth:]
-                        break
+                if self.open.get(name):
+                    self._cut(self.open[name][-1])
                 continue
             if name in _CLOSES_P:
-                self._end(stack, {"p"}, {"td", "th", "div", "article", "section", "body", "li", "blockquote"})
+                self._end({"p"}, {"td", "th", "div", "article", "section", "body", "li", "blockquote"})
             if name in _ENDS:
-                self._end(stack, *_ENDS[name])
+                self._end(*_ENDS[name])
             node = len(self.tag)
             self.tag.append(name)
-            self.parent.append(stack[-1])
+            self.parent.append(self.stack[-1])
             self.items.append([])
-            self.items[stack[-1]].append(node)
+            self.items[self.stack[-1]].append(node)
             if name in _RAW:
                 if m[3].endswith("/"):
                     continue
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                end = re.compile(rf"</{re.escape(name)}\s*+>", re.I).search(page, at)
                 if name == "title" and not self.title:
                     self.title = " ".join(html.unescape(page[at : end.start() if end else size]).split())
                 at = end.end() if end else size
             elif name not in _VOID and not m[3].endswith("/"):
-                stack.append(node)
-
-    def _end(self, stack: list[int], names: set[str], stops: set[str]) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[depth]]
-            if tag in names:
-                del stack[depth:]
-                if len(names) == 1:
-                    return
-            elif tag in stops:
+                self.open.setdefault(name, []).append(len(self.stack))
+                self.stack.append(node)
+
+    def _cut(self, depth: int) -> None:
+        for node in self.stack[depth:]:
+            self.open[self.tag[node]].pop()
+        del self.stack[depth:]
+
+    def _end(self, names: set[str], stops: set[str]) -> None:
+        """Ends open elements of the names, down to the nearest of the stops; of a single name only the last one."""
+        stop = max((self.open[s][-1] for s in stops if self.open.get(s)), default=0)
+        while (depth := max((self.open[n][-1] for n in names if self.open.get(n)), default=0)) > stop:
+            self._cut(depth)
+            if len(names) == 1:
                 return
 
-    def content(self) -> dict:
+    def content(self, plain: bool = False) -> dict:
+        """The result's columns; with ``plain`` inline elements count in the sums, and any node may be left out."""
         n = len(self.tag)
         chars, tags, linked, links = [0] * n, [1] * n, [0] * n, [0] * n
         inside = [False] * n
@@ -125,7 +162,7 @@ class Dom:
         under[body] = True
         for i in range(body + 1, n):
             under[i] = under[self.parent[i]]
-            if under[i] and self.tag[i] not in _INLINE:
+            if under[i] and (plain or self.tag[i] not in _INLINE):
                 total[self.parent[i]] += density[i]
         best = max((i for i in range(body, n) if under[i]), key=lambda i: (total[i], -i))
         path, threshold, i = [], density[best], best
@@ -141,7 +178,7 @@ class Dom:
                 out.append(x)
                 continue
             tag = self.tag[x]
-            if x != best and tag in _LAYOUT and density[x] < threshold or tag == "head":
+            if x != best and (plain or tag in _LAYOUT) and density[x] < threshold or tag == "head":
                 continue
             block = tag in _BLOCK
             if block:

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import random
+import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import regex
@@ -42,7 +44,7 @@ def test_words_against_plain_merging(ranks):
     rng = random.Random(6)
     words = sorted({"".join(rng.choice("aeinorst ") for _ in range(rng.randint(1, 14))).encode() for _ in range(1500)})
     e = bpe.Encoder(ranks)
-    assert [[e.bytes[t] for t in ts] for ts in e.encode(words)] == [e.merged(w) for w in words]
+    assert [[e.bytes[t] for t in np.frombuffer(ts, np.int32).tolist()] for ts in e.encode(words)] == [e.merged(w) for w in words]
     assert e.nodes < sum(map(len, words))  # prefixes are shared
 
 
@@ -75,3 +77,32 @@ def test_bytes_that_are_no_text(spark, ranks):
     r = bpe.encode(d).first()
     e = bpe.Encoder(ranks)
     assert r["exact"] and b"".join(e.bytes[t] for t in r["tokens"]) == bytes.fromhex("61ff62e282")
+
+
+@pytest.mark.parametrize("unit", ["ab", "x", "antidisestablishment", "qzjxv", "é"])
+def test_time_is_linear_in_a_word(unit):
+    e = bpe.Encoder(bpe.load())
+    took = []
+    for size in (50_000, 400_000):
+        word = (unit * size)[:size].encode()
+        began = time.process_time()
+        (got,) = e.encode([word])
+        took.append(time.process_time() - began)
+        assert b"".join(e.bytes[t] for t in np.frombuffer(got, np.int32).tolist()) == word
+    assert took[1] < 30
+
+
+def test_suffixes_against_brute_force():
+    e = bpe.Encoder(bpe.load())
+    for begin in sorted(e.begins)[::997]:
+        assert e.suffixes(begin) == [(e.ranks[begin[i:]], len(begin) - i) for i in range(len(begin)) if begin[i:] in e.ranks and (len(begin) - i == 1 or e.parts(e.ranks[begin[i:]]) is not None)]
+
+
+def test_words_are_known_in_two_generations(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 20)
+    tool, plain = bpe.Batches(bpe.load()), bpe.Encoder(bpe.load())
+    rng = random.Random(3)
+    for _ in range(30):
+        words = ["".join(rng.choice("abc") for _ in range(rng.choice([1, 2, 3, 90]))).encode() for _ in range(40)]
+        assert tool.words(words) == [plain.encode([w])[0] for w in words]
+        assert all(len(w) <= bpe.KEPT_BYTES for w in tool.known)

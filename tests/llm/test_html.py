@@ -1,8 +1,12 @@
 from __future__ import annotations
 
 import math
+import random
+import time
 from html.parser import HTMLParser
 
+import pytest
+
 from sheaf.llm import html
 
 
@@ -61,14 +65,19 @@ def _brute(page: str):
         c, t, lc, lt = n["f"]
         n["d"] = c / t * math.log(c / max(1, lc) * t / max(1, lt)) / max(html.FLOOR, math.log(math.log(c / max(1, c - lc) * lc + share * c + math.e))) if c else 0.0
     inside = nodes[nodes.index(body) :]
-    sums = [sum(k["d"] for k in n["kids"] if not isinstance(k, str) and k["tag"] not in ("a", "b", "br")) for n in inside]
+    sums = [sum(k["d"] for k in n["kids"] if not isinstance(k, str) and k["tag"] not in html._INLINE) for n in inside]
     best = inside[sums.index(max(sums))]
     path, n, least = [], best, best["d"]
     while n["tag"] != "#":
         path.append(n["tag"])
         least = min(least, n["d"]) if n["tag"] != "html" else least
         n = n["up"]
-    return "/".join(reversed(path)), max(sums), least
+    def kept(n) -> str:
+        if isinstance(n, str):
+            return "".join(n.split())
+        return "" if n is not best and n["tag"] in html._LAYOUT and n["d"] < least else "".join(map(kept, n["kids"]))
+
+    return "/".join(reversed(path)), max(sums), least, kept(best)
 
 
 PAGE = """<html><head><title>A &amp; B</title><style>p{}</style></head><body><nav><ul><li><a href="/x">one</a></li><li><a href="/y">two</a></li></ul></nav>
@@ -76,10 +85,56 @@ PAGE = """<html><head><title>A &amp; B</title><style>p{}</style></head><body><na
 <script>var t = "</p>";</script><footer>small print</footer></body></html>""" % ("Many words of the first paragraph. " * 12)
 
 
+def _random(seed: int) -> str:
+    """A well-formed page of nested elements that none ends by itself."""
+    rng = random.Random(seed)
+
+    def inside(depth: int) -> str:
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            if depth > 4 or rng.random() < 0.4:
+                parts.append(" ".join(rng.choices(["some", "words", "of", "text", "x"], k=rng.randint(1, 30))))
+            else:
+                tag = rng.choice(["div", "section", "ul", "b", "a", "span", "article", "header"])
+                parts.append(f"<{tag}>{inside(depth + 1)}</{tag}>" if tag != "b" else "<b>bold words</b>")
+        return " ".join(parts)
+
+    return f"<html><body><div>{inside(0)}</div><div>{inside(0)}</div></body></html>"
+
+
+@pytest.mark.parametrize("part", ['<b "', "<b '\"", "<b", "<!", "<!x>", "<p><td>", "</i><b>", "<!--", "<ul><hr>", '<b a="', "<li>", "<b>", "<p><b>", "</script ", "<dt><b>", "&amp;"])
+def test_time_is_linear(part):
+    began = time.process_time()
+    html.Dom("<p>x" + part * 40_000).content()
+    assert time.process_time() - began < 10  # a quadratic parser takes minutes for some of these
+
+
+def test_closing_tags_by_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        page = "".join(rng.choices("<<>\"'ab ", k=40))
+        for at in [i for i, c in enumerate(page) if c == "<"]:
+            quote, closes = "", False
+            for c in page[at + 1 :]:
+                if quote:
+                    quote = "" if c == quote else quote
+                elif c == ">":
+                    closes = True
+                    break
+                elif c in "\"'":
+                    quote = c
+            assert (at in html._closing(page, 0)) == closes
+
+
+def test_a_tag_that_does_not_close_is_text():
+    assert html.Dom('<p>1 <b "2 <i>3</i> 4').content()["text"] == '1 <b "2 3 4'
+
+
 def test_against_brute_force():
-    for page in (PAGE, PAGE.replace("<article>", "<section>").replace("</article>", "</section>"), "<html><body><div><p>only this text is here</p><p>and that</p></div></body></html>"):
-        path, total, least = _brute(page)
+    for page in (PAGE, PAGE.replace("<article>", "<section>").replace("</article>", "</section>"), "<html><body><div><p>only this text is here</p><p>and that</p></div></body></html>", PAGE.replace("<h1>", "<div><a href='t'>tag</a><a href='u'>tags</a></div><h1>"), _random(1), _random(2), _random(3)):
+        path, total, least, text = _brute(page)
         got = html.Dom(page).content()
+        assert "".join(got["text"].split()) == text
         assert got["path"] == path and abs(got["density_sum"] - total) < 1e-6 and abs(got["threshold"] - least) < 1e-6
 
 
