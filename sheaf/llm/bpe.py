@@ -37,7 +37,7 @@ from sheaf.llm import common, kernel
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A worker keeps the tokens of so many words; beyond, those of words that it then doesn't meet for as long are dropped.
-KEPT_WORDS = 1 << 17
+KEPT_WORDS = 3 << 15
 #: Longer words (bytes) are encoded each time, so that the memory of what is kept is bounded.
 KEPT_BYTES = 64
 #: A worker keeps so many answers about pairs of tokens.
@@ -61,7 +61,8 @@ class Encoder:
         self.ranks = ranks
         self.bytes = {r: b for b, r in ranks.items()}
         self.begins = {b[:n] for b in ranks for n in range(1, len(b) + 1)}
-        self._suffixes: dict[bytes, list[tuple[int, int]]] = {}
+        self._suffixes: dict[bytes, tuple[tuple[int, int], ...]] = {}
+        self._pairs: dict[int, tuple[int, int]] = {}  # shared, as a token ends many strings
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[int, bool] = {}
         self._ends: tuple[dict[int, list], dict[int, list]] = ({}, {})
@@ -118,16 +119,17 @@ class Encoder:
             self._fits[key] = got
         return got
 
-    def suffixes(self, begin: bytes) -> list[tuple[int, int]]:
+    def suffixes(self, begin: bytes) -> tuple[tuple[int, int], ...]:
         """Tokens that end a string with which some token begins, and their lengths, the longest first; none that merging never
         gives."""
         got = self._suffixes.get(begin)
         if got is None:
-            got = []
+            found = []
             for at in range(len(begin)):
                 token = self.ranks.get(begin[at:])
                 if token is not None and (len(begin) - at == 1 or self.parts(token) is not None):
-                    got.append((token, len(begin) - at))
+                    found.append(self._pairs.setdefault(token, (token, len(begin) - at)))
+            got = tuple(found)
             if len(self._suffixes) >= KEPT_PAIRS:
                 self._suffixes.clear()
             self._suffixes[begin] = got

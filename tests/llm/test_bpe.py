@@ -95,7 +95,7 @@ def test_time_is_linear_in_a_word(unit):
 def test_suffixes_against_brute_force():
     e = bpe.Encoder(bpe.load())
     for begin in sorted(e.begins)[::997]:
-        assert e.suffixes(begin) == [(e.ranks[begin[i:]], len(begin) - i) for i in range(len(begin)) if begin[i:] in e.ranks and (len(begin) - i == 1 or e.parts(e.ranks[begin[i:]]) is not None)]
+        assert list(e.suffixes(begin)) == [(e.ranks[begin[i:]], len(begin) - i) for i in range(len(begin)) if begin[i:] in e.ranks and (len(begin) - i == 1 or e.parts(e.ranks[begin[i:]]) is not None)]
 
 
 def test_words_are_known_in_two_generations(monkeypatch):
