@@ -48,26 +48,29 @@ def links(notes: DataFrame) -> DataFrame:
     """(src, pos, target, anchor, alias, embed) of wikilinks outside of code fences."""
     body = T.without_fences(F.col("text"))
     each = notes.select(F.col("path").alias("src"), F.posexplode(T.matches(body, WIKILINK)).alias("pos", "raw"))
-    inner = F.regexp_replace(F.regexp_replace("raw", r"^!?\[\[", ""), r"\]\]$", "")
-    bar = F.locate("|", inner)
-    whole = F.when(bar > 0, F.regexp_replace(F.substring(inner, F.lit(1), bar - 1), r"\\$", "")).otherwise(inner)
-    mark = F.locate("#", whole)
+    # One regular expression for each part, so that no part's expression holds another's several times over.
+    inner = F.regexp_replace("raw", r"^!?\[\[|\]\]$", "")
+    whole = F.regexp_extract(inner, r"(?s)^([^|]*?)(?:\\?\|.*)?$", 1)
     return each.select(
         "src", "pos",
-        F.btrim(F.when(mark > 0, F.substring(whole, F.lit(1), mark - 1)).otherwise(whole)).alias("target"),
-        F.when(mark > 0, F.substring(whole, mark + 1, F.length(whole))).otherwise("").alias("anchor"),
-        F.when(bar > 0, F.substring(inner, bar + 1, F.length(inner))).otherwise("").alias("alias"),
+        F.btrim(F.regexp_extract(whole, "^[^#]*", 0)).alias("target"),
+        F.regexp_extract(whole, "(?s)^[^#]*#(.*)$", 1).alias("anchor"),
+        F.regexp_extract(inner, r"(?s)^[^|]*\|(.*)$", 1).alias("alias"),
         F.col("raw").startswith("!").alias("embed"),
     )
 
 
 def markdown_links(notes: DataFrame) -> DataFrame:
-    """(src, pos, target, anchor) of markdown links to files, outside of code fences."""
+    """(src, pos, target, anchor) of markdown links, outside of code fences; a target that is empty is in the same note."""
     body = T.without_fences(F.col("text"))
     each = notes.select(F.col("path").alias("src"), F.posexplode(T.matches(body, MDLINK, 1)).alias("pos", "raw"))
-    plain = F.btrim(F.split_part("raw", F.lit('"'), F.lit(1)))
-    out = each.select("src", "pos", F.split_part(plain, F.lit("#"), F.lit(1)).alias("target"), F.split_part(plain, F.lit("#"), F.lit(2)).alias("anchor"))
-    return out.where(~external(F.col("target")))
+    plain = F.regexp_extract("raw", '(?s)^[^"]*', 0)
+    return each.select("src", "pos", F.btrim(F.regexp_extract(plain, "^[^#]*", 0)).alias("target"), F.btrim(F.regexp_extract(plain, "(?s)^[^#]*#(.*)$", 1)).alias("anchor"))
+
+
+def all_links(notes: DataFrame) -> DataFrame:
+    """(src, target, anchor) of wikilinks and markdown links."""
+    return links(notes).select("src", "target", "anchor").unionByName(markdown_links(notes).select("src", "target", "anchor"))
 
 
 def external(target: Column) -> Column:

@@ -21,9 +21,11 @@ def postings(df: DataFrame, key: str, values: Column, name: str = "key") -> Data
     return df.select(key, F.explode(values).alias(name)).where(f"{name} is not null and {name} <> ''").distinct()
 
 
-def budget(rows: DataFrame, each: int, most: int) -> DataFrame:
-    """``points`` of equal weight in the order of the reasons, as far as the channel's budget for a note goes."""
-    n = F.row_number().over(Window.partitionBy("item", "note").orderBy("reason"))
+def budget(rows: DataFrame, each: int, most: int, longest: bool = False) -> DataFrame:
+    """``points`` of equal weight in the order of the reasons (with ``longest`` the longest first), as far as the channel's budget
+    for a note goes."""
+    order = [F.desc(F.length("reason")), F.col("reason")] if longest else ["reason"]
+    n = F.row_number().over(Window.partitionBy("item", "note").orderBy(*order))
     return rows.withColumn("points", F.greatest(F.lit(0), F.least(F.lit(each), F.lit(most) - F.lit(each) * (n - 1))).cast("int"))
 
 
@@ -34,11 +36,17 @@ def idf(cards: DataFrame) -> DataFrame:
     return p.groupBy("key").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("key", "df", F.round(F.log(F.col("n_notes") / F.col("df")), 9).cast("decimal(18,9)").alias("idf"))
 
 
-def tokens(items: DataFrame, cards: DataFrame) -> DataFrame:
+def tokens(items: DataFrame, cards: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Shared tokens by their rarity; of given ``pairs`` (item, note) alone, where other evidence is needed anyway: then no token
+    brings pairs together, however many notes have it."""
     weights = idf(cards)
     top = weights.agg(F.max("idf").cast("double").alias("m")).select(F.when(F.coalesce("m", F.lit(0.0)) > 0, F.col("m")).otherwise(1.0).alias("top"))
-    wanted = postings(items, "item", F.array_union(T.tokens(F.col("title")), T.tokens(F.substring("body", 1, BODY))))
-    shared = wanted.join(weights.where("idf > 0"), "key").join(postings(cards, "note", T.tokens(F.col("title"))), "key")
+    said, titled = F.array_union(T.tokens(F.col("title")), T.tokens(F.substring("body", 1, BODY))), T.tokens(F.col("title"))
+    if pairs is None:
+        shared = postings(items, "item", said).join(weights.where("idf > 0"), "key").join(postings(cards, "note", titled), "key")
+    else:
+        both = pairs.select("item", "note").distinct().join(items.select("item", said.alias("said")), "item").join(cards.select("note", titled.alias("titled")), "note")
+        shared = both.select("item", "note", F.explode(F.array_intersect("said", "titled")).alias("key")).join(weights.where("idf > 0"), "key")
     raw = shared.groupBy("item", "note").agg(F.sum("idf").cast("double").alias("raw"), F.count("*").alias("n"))
     scored = raw.crossJoin(F.broadcast(top)).withColumn("points", F.least(F.lit(TOKENS_MOST), F.bround(25 * F.col("raw") / (F.col("top") * 2.5))).cast("int"))
     return scored.where("points >= 3").select("item", "note", F.lit("tokens").alias("channel"), "points", F.col("n").cast("string").alias("reason"))
@@ -80,39 +88,73 @@ def people(items: DataFrame, cards: DataFrame) -> DataFrame:
     return budget(rows, PERSON, PERSON_MOST).select(*RESULT)
 
 
+_CUT = r"[^\p{L}\p{N}_]+"
+
+
+def _texts(items: DataFrame) -> DataFrame:
+    return items.select("item", F.lower(F.concat_ws("\n", "title", "body")).alias("hay"))
+
+
+def _met(hay: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(item, name, hay) where the text has the word that a name (name, word) can't do without; names without such a word meet
+    every text."""
+    distinct = wanted.select("name", "word").distinct()
+    by_word = postings(hay, "item", F.split("hay", _CUT), "word").join(distinct.where("word is not null"), "word").select("item", "name")
+    plain = hay.select("item").crossJoin(distinct.where("word is null").select("name"))
+    return by_word.unionByName(plain).join(hay, "item")
+
+
 def tags(items: DataFrame, cards: DataFrame) -> DataFrame:
-    """Tags (of one word) of more than three characters that the item's text has as a word."""
-    w = postings(items, "item", F.split(F.lower(F.concat_ws("\n", "title", "body")), r"[^\p{L}\p{N}_]+"))
-    t = postings(cards, "note", F.transform("tags", lambda x: F.lower(x))).where("length(key) > 3")
-    return w.join(t, "key").select("item", "note", F.lit("tag").alias("channel"), F.lit(TAG).alias("points"), F.col("key").alias("reason"))
+    """Tags of more than three characters that the item's text has between word boundaries.  A tag's first word must be one of
+    the text, where these meet."""
+    t = postings(cards, "note", F.transform("tags", lambda x: F.lower(x)), "name").where("length(name) > 3")
+    words = F.filter(F.split("name", _CUT), lambda x: x != "")
+    met = _met(_texts(items), t.select("name", F.get(words, F.lit(0)).alias("word")))
+    pattern = F.concat(F.lit(r"(?U)\b\Q"), F.replace("name", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
+    return met.where(F.rlike("hay", pattern)).select("item", "name").join(t, "name").select("item", "note", F.lit("tag").alias("channel"), F.lit(TAG).alias("points"), F.col("name").alias("reason"))
 
 
 def phrases(items: DataFrame, cards: DataFrame) -> DataFrame:
-    """Titles of six characters or more that the item's text contains; one within a longer one that it also contains doesn't
-    count.  A phrase's longest word that isn't at its ends must be a word of the text: those meet in a join on words.  Phrases
-    of less than three words have no such word, and meet the texts one by one."""
-    cut = r"[^\p{L}\p{N}_]+"
-    hay = items.select("item", F.lower(F.concat_ws("\n", "title", "body")).alias("hay"))
-    p = cards.select("note", F.lower(F.btrim("title")).alias("phrase")).where("length(phrase) >= 6")
-    words = F.split("phrase", cut)
+    """Titles and aliases (a column that cards may have) of six characters or more that the item's text contains; one within a longer
+    one of the same note that it also contains doesn't count, and the longest come first in the budget.  A phrase's longest word
+    that isn't at its ends must be a word of the text: those meet in a join on words.  Phrases of less than three words have no
+    such word, and meet the texts one by one."""
+    names = F.array("title") if "aliases" not in cards.columns else F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))
+    p = postings(cards, "note", F.transform(names, lambda x: F.lower(F.btrim(x))), "name").where("length(name) >= 6")
+    words = F.split("name", _CUT)
     inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda x: x != "")
-    p = p.select("phrase", F.get(F.array_sort(F.transform(inner, lambda x: F.struct((-F.length(x)).alias("l"), x.alias("w")))), F.lit(0))["w"].alias("word"), "note")
-    distinct = p.select("phrase", "word").distinct()
-    by_word = postings(hay, "item", F.split("hay", cut), "word").join(distinct.where("word is not null"), "word").select("item", "phrase")
-    plain = hay.select("item").crossJoin(distinct.where("word is null").select("phrase"))
-    met = by_word.unionByName(plain).join(hay, "item").where(F.contains("hay", "phrase")).select("item", "phrase")
-    short, long = met.alias("s"), met.alias("l")
-    within = short.join(long, (F.col("s.item") == F.col("l.item")) & (F.col("s.phrase") != F.col("l.phrase")) & F.contains(F.col("l.phrase"), F.col("s.phrase"))).select(F.col("s.item").alias("item"), F.col("s.phrase").alias("phrase")).distinct()
-    kept = met.join(within, ["item", "phrase"], "left_anti").join(p.select("phrase", "note").distinct(), "phrase")
-    rows = kept.select("item", "note", F.lit("phrase").alias("channel"), F.col("phrase").alias("reason"))
-    return budget(rows, PHRASE, PHRASE_MOST).select(*RESULT)
+    wanted = p.select("name", F.get(F.array_sort(F.transform(inner, lambda x: F.struct((-F.length(x)).alias("l"), x.alias("w")))), F.lit(0))["w"].alias("word"))
+    met = _met(_texts(items), wanted).where(F.contains("hay", "name")).select("item", "name").join(p, "name")
+    # The names of a note are few: each is held against the others of its note.
+    each = met.groupBy("item", "note").agg(F.collect_set("name").alias("all")).select("item", "note", "all", F.explode("all").alias("reason"))
+    kept = each.where(~F.exists("all", lambda x: (x != F.col("reason")) & F.contains(x, F.col("reason")))).select("item", "note", F.lit("phrase").alias("channel"), "reason")
+    return budget(kept, PHRASE, PHRASE_MOST, longest=True).select(*RESULT)
 
 
 def ranked(evidence: DataFrame, k: int = 5) -> DataFrame:
-    """(item, note, score, best, evidence, rank): the ``k`` notes of the greatest sums, by note where equal."""
-    s = evidence.groupBy("item", "note").agg(F.sum("points").cast("int").alias("score"), F.max("points").alias("best"), F.array_join(F.slice(F.array_sort(F.collect_set(F.concat_ws(":", "channel", "reason"))), 1, EVIDENCE), ",").alias("evidence"))
-    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "note"))
-    return s.withColumn("rank", rank).where(F.col("rank") <= k)
+    """(item, note, score, best, evidence, rank): the ``k`` notes of the greatest sums, by note where equal.  Scores end at 100; a first
+    place that no single strong signal supports is held under the anchoring score, and its evidence says so."""
+    why = F.array_sort(F.collect_set(F.concat_ws(":", "channel", "reason")))
+    s = evidence.groupBy("item", "note").agg(F.sum("points").alias("total"), F.max("points").alias("best"), why.alias("why"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("total"), "note"))
+    s = s.withColumn("rank", rank).where(F.col("rank") <= k)
+    held = (F.col("rank") == 1) & (F.col("total") >= ANCHORED) & (F.col("best") < ANCHOR_SIGNAL)
+    score = F.when(held, ANCHORED - 1).otherwise(F.least(F.lit(100), "total")).cast("int")
+    shown = F.when(held, F.concat(F.slice("why", 1, EVIDENCE - 1), F.array(F.lit(f"capped: no single signal >= {ANCHOR_SIGNAL}")))).otherwise(F.slice("why", 1, EVIDENCE))
+    return s.select("item", "note", score.alias("score"), "best", F.array_join(shown, ",").alias("evidence"), "rank")
+
+
+def related(cards: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of notes of one subject: they share a code or a tag, one links to the other's name, or they are in the same
+    top folder.  Cards have (note, stem, codes, tags, links, folder) for it; what is missing or null says nothing."""
+    none = F.array().cast("array<string>")
+    arr = lambda c: (F.coalesce(c, none) if c in cards.columns else none).alias(c)
+    one = lambda c: (F.col(c) if c in cards.columns else F.lit(None).cast("string")).alias(c)
+    c = cards.select("note", F.transform(arr("codes"), lambda x: T.code_key(x)).alias("codes"), F.transform(arr("tags"), lambda x: F.lower(x)).alias("tags"), F.transform(arr("links"), lambda x: F.lower(x)).alias("links"), F.lower(one("stem")).alias("stem"), F.split_part(one("folder"), F.lit("/"), F.lit(1)).alias("folder"))
+    side = lambda s: c.select(*[F.col(x).alias(s if x == "note" else f"{s}_{x}") for x in c.columns])
+    j = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    same = F.arrays_overlap("a_codes", "b_codes") | F.arrays_overlap("a_tags", "b_tags") | F.coalesce(F.array_contains("a_links", F.col("b_stem")), F.lit(False)) | F.coalesce(F.array_contains("b_links", F.col("a_stem")), F.lit(False)) | F.coalesce(F.col("a_folder") == F.col("b_folder"), F.lit(False))
+    return j.where(same).select("a", "b")
 
 
 def states(items: DataFrame, top: DataFrame, related: DataFrame) -> DataFrame:
@@ -123,7 +165,7 @@ def states(items: DataFrame, top: DataFrame, related: DataFrame) -> DataFrame:
     kin = related.select(F.least("a", "b").alias("ka"), F.greatest("a", "b").alias("kb"), F.lit(True).alias("kin")).distinct()
     j = items.select("item", (F.size("codes") > 0).alias("coded")).join(first, "item", "left").join(second, "item", "left")
     j = j.join(kin, (F.least("note", "note2") == F.col("ka")) & (F.greatest("note", "note2") == F.col("kb")), "left")
-    score = F.when((F.col("score") >= ANCHORED) & (F.col("best") < ANCHOR_SIGNAL), ANCHORED - 1).otherwise(F.coalesce("score", F.lit(0)))
+    score = F.coalesce("score", F.lit(0))
     state = (
         F.when((score >= CORRELATED) & (F.col("best") < ANCHOR_SIGNAL), "weak")
         .when((score >= CORRELATED) & F.col("score2").isNotNull() & (score - F.col("score2") <= GAP) & F.col("kin").isNull(), "ambiguous")
@@ -136,9 +178,11 @@ def states(items: DataFrame, top: DataFrame, related: DataFrame) -> DataFrame:
 
 
 def gaps(evidence: DataFrame, linked: DataFrame, floor: int = 40, k: int = 5) -> DataFrame:
-    """(item, note, score, rank): notes that score at least ``floor`` for a note, without a link (a, b) either way."""
+    """(item, note, score, rank): notes that score at least ``floor`` for a note, without a link (a, b) either way.  They are sought
+    among the first max(4 k, 20), of which the note itself is one if there is evidence for it."""
     both = linked.select("a", "b").unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    s = evidence.where("item <> note").groupBy("item", "note").agg(F.sum("points").cast("int").alias("score")).where(F.col("score") >= floor)
+    s = evidence.groupBy("item", "note").agg(F.sum("points").cast("int").alias("score")).where(F.col("score") >= floor)
     s = s.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "note"))).where(F.col("rank") <= max(4 * k, 20))
-    s = s.join(both, (s["item"] == both["a"]) & (s["note"] == both["b"]), "left_anti").drop("rank")
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "note"))).where(F.col("rank") <= k)
+    s = s.where("item <> note").join(both, (s["item"] == both["a"]) & (s["note"] == both["b"]), "left_anti").drop("rank")
+    s = s.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "note"))).where(F.col("rank") <= k)
+    return s.withColumn("score", F.least(F.lit(100), "score"))

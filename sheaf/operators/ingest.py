@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import text as T
 
-RULES = {"no_topic_high_score": 20, "ask_without_specifics": 15, "many_questions": 15, "deadline_unresolved": 15, "long_body": 15, "thin_body_with_attachments": 20, "image_needs_vision": 25, "delegated_unread": 25, "contradictory_direction": 15, "new_and_nontrivial": 15, "long_thread": 10, "resolved_credit": -25}
+RULES = {"no_topic_high_score": 20, "ask_without_specifics": 15, "many_questions": 15, "deadline_unresolved": 15, "long_body": 15, "thin_body_with_attachments": 15, "image_needs_vision": 20, "delegated_unread": 15, "contradictory_direction": 10, "new_and_nontrivial": 10, "long_thread": 10, "resolved_credit": -15}
 THRESHOLD = 35
 
 

@@ -35,8 +35,8 @@ def scan(docs: DataFrame, key: str, text: str, classes: list[str] | None = None)
     """(key, class, n, samples, blocking): hits of each class, at most five different ones shown, redacted."""
     each = {c: x for c, x in found(F.col(text)).items() if classes is None or c in classes}
     rows = docs.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("class"), x.alias("hits")) for c, x in each.items()])).alias("f")).where("size(f.hits) > 0")
-    shown = F.slice(F.array_distinct("f.hits"), 1, SAMPLES)
-    return rows.select(key, "f.class", F.size("f.hits").alias("n"), F.array_join(F.transform(shown, lambda x: T.redact(x)), ",").alias("samples"), F.col("f.class").isin(*BLOCKING).alias("blocking"))
+    shown = F.slice(F.array_distinct(F.transform("f.hits", lambda x: T.redact(x))), 1, SAMPLES)
+    return rows.select(key, "f.class", F.size("f.hits").alias("n"), F.array_join(shown, ",").alias("samples"), F.col("f.class").isin(*BLOCKING).alias("blocking"))
 
 
 def pattern(term: str) -> str:

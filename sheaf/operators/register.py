@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions import notes as N
+from sheaf.tables import cut
 
 COMPOUND = r"^([A-Za-z0-9][\w.-]*)\s*[/|,;+]\s*([A-Za-z0-9][\w.-]*)$"
 
@@ -31,18 +32,23 @@ def conformance(fields: DataFrame, entities: DataFrame, aliases: DataFrame, tier
     return r.withColumn("state", state).where("state is not null").select("path", "field", "value", "state", F.when(F.col("state") == "compound", F.concat_ws("+", "xi", "yi")).otherwise(F.col("ident")).alias("canonical"))
 
 
-def ancestors(edges: DataFrame, kind: str = "parent", most: int = 32) -> DataFrame:
-    """(id, ancestor, depth): the chain along the first edge of each identifier (src, type, dst), nearest first.  A cycle ends
-    where it would come back.  One round per level of the register, over what is still climbing."""
-    up = edges.where(F.col("type") == kind).groupBy("src").agg(F.min("dst").alias("up"))
-    now = up.select(F.col("src").alias("id"), F.col("up").alias("ancestor"), F.lit(1).alias("depth"), F.array("src", "up").alias("seen")).where("id <> ancestor")
-    out = now
-    for _ in range(most):
-        if now.isEmpty():
-            break
-        now = now.join(up, now["ancestor"] == up["src"]).where(~F.array_contains("seen", F.col("up"))).select("id", F.col("up").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.array_append("seen", F.col("up")).alias("seen"))
-        out = out.unionByName(now)
-    return out.select("id", "ancestor", "depth")
+def ancestors(edges: DataFrame, kind: str = "parent") -> DataFrame:
+    """(id, ancestor, depth): the chain along the first edge of each identifier (src, type, dst; first by ``pos`` where edges have it,
+    else by dst), nearest first, however long.  A cycle ends where it would come back.  Chains double in each round, so that
+    there are as many rounds as the longest one's depth has binary digits; each is kept by a checkpoint."""
+    first = F.min_by("dst", "pos") if "pos" in edges.columns else F.min("dst")
+    up = edges.where(F.col("type") == kind).groupBy("src").agg(first.alias("up"))
+    has = up.select(F.col("src").alias("next"), F.lit(True).alias("has"))
+    one = up.select(F.col("src").alias("id"), F.array_distinct(F.array("src", "up")).alias("chain"), (F.col("src") == F.col("up")).alias("done"), F.col("up").alias("next"))
+    now = cut(one.join(has, "next", "left").select("id", "chain", (F.col("done") | F.col("has").isNull()).alias("done")))
+    while not now.where("not done").isEmpty():
+        ahead = now.select(F.col("id").alias("at"), F.col("chain").alias("more"), F.col("done").alias("ended"))
+        open_ = now.where("not done").join(ahead, F.element_at("chain", -1) == F.col("at"))
+        both = F.concat("chain", F.slice("more", F.lit(2), F.size("more")))
+        # What comes again begins a cycle, of which all that follows comes again too.
+        grown = open_.select("id", F.array_distinct(both).alias("chain"), (F.col("ended") | (F.size(F.array_distinct(both)) < F.size(both)) | (F.size("more") == 1)).alias("done"))
+        now = cut(now.where("done").unionByName(grown))
+    return now.select("id", F.posexplode("chain").alias("depth", "ancestor")).where("depth > 0").select("id", "ancestor", "depth")
 
 
 def enforcement(source: str) -> dict[str, bool]:

@@ -104,8 +104,8 @@ def corr_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("corr_phrases", """WITH p AS (SELECT item_id AS note, lower(trim(split_part(text, '.', 1))) AS phrase FROM benchmark),
     m AS (SELECT DISTINCT doc_id AS item, phrase FROM documents JOIN p ON contains(lower(text), phrase) WHERE length(phrase) >= 6),
-    k AS (SELECT * FROM m s WHERE NOT EXISTS (SELECT 1 FROM m l WHERE l.item = s.item AND l.phrase <> s.phrase AND contains(l.phrase, s.phrase)))
-    SELECT item, note, 'phrase' AS channel, greatest(0, least(35, 40 - 35 * (row_number() OVER (PARTITION BY item, note ORDER BY phrase) - 1)))::INTEGER AS points, phrase AS reason FROM k JOIN p USING (phrase)""")
+    k AS (SELECT * FROM m)
+    SELECT item, note, 'phrase' AS channel, greatest(0, least(35, 40 - 35 * (row_number() OVER (PARTITION BY item, note ORDER BY length(phrase) DESC, phrase) - 1)))::INTEGER AS points, phrase AS reason FROM k JOIN p USING (phrase)""")
 def corr_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("note"), F.split_part("text", F.lit("."), F.lit(1)).alias("title"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.lit(None).cast("string").alias("title"), F.col("text").alias("body"))
@@ -129,10 +129,7 @@ _KIN = """kin AS (SELECT a.item, a.note AS x, b.note AS y FROM rk a JOIN rk b ON
 def corr_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = C.ranked(_evidence(spark, sf_dir))
     pair = top.where("rank = 1").select("item", F.col("note").alias("a")).join(top.where("rank = 2").select("item", F.col("note").alias("b")), "item").select("a", "b").distinct()
-    d = cards(spark, sf_dir).select("note", F.col("codes")[0].alias("code"), F.col("tags")[0].alias("tag"))
-    x, y = d.select(F.col("note").alias("a"), F.col("code").alias("ca"), F.col("tag").alias("ta")), d.select(F.col("note").alias("b"), F.col("code").alias("cb"), F.col("tag").alias("tb"))
-    related = pair.join(x, "a").join(y, "b").where("ca = cb or ta = tb").select("a", "b")
-    return C.states(items(spark, sf_dir), top, related)
+    return C.states(items(spark, sf_dir), top, C.related(cards(spark, sf_dir), pair))
 
 
 @query("corr_inherited", """SELECT n_nationkey AS item, r_regionkey AS note, 'inherited' AS channel, 20 AS points, 'R' || r_regionkey AS reason FROM nation JOIN region ON r_regionkey = n_regionkey""")
@@ -144,22 +141,29 @@ def corr_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.inherited(i, table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("note"), F.array(code("R", "r_regionkey")).alias("codes")), climb)
 
 
-@query("semantic_gaps", f"""WITH c AS (SELECT doc_id AS note, substr(text, 1, 80) AS title FROM documents),
+@query("semantic_gaps", f"""WITH c AS (SELECT doc_id AS note, substr(text, 1, 80) AS title, coalesce(text, '') AS body, 'GRP-' || doc_id // 6 AS code FROM documents),
     p AS (SELECT DISTINCT note, unnest({_tok('title')}) AS key FROM c),
+    q AS (SELECT DISTINCT note, unnest({_tok("coalesce(title, '') || ' ' || substr(body, 1, 2000)")}) AS key FROM c),
     w AS (SELECT key, round(ln((SELECT count(*) FROM c) / count(*)), 9)::DECIMAL(18, 9) AS idf FROM p GROUP BY key),
     tops AS (SELECT CASE WHEN max(idf) > 0 THEN max(idf)::DOUBLE ELSE 1 END AS top FROM w),
-    s AS (SELECT a.note AS item, b.note, least(25, round_even(25 * sum(idf)::DOUBLE / (any_value(top) * 2.5), 0))::INTEGER AS score
-          FROM p a JOIN w USING (key) JOIN p b USING (key), tops WHERE idf > 0 AND a.note <> b.note GROUP BY a.note, b.note),
-    f AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, note) AS r FROM s WHERE score >= 20),
+    k AS (SELECT a.note AS item, b.note FROM c a JOIN c b USING (code)),
+    t AS (SELECT k.item, k.note, least(25, round_even(25 * sum(idf)::DOUBLE / (any_value(top) * 2.5), 0))::INTEGER AS points
+          FROM k JOIN q ON q.note = k.item JOIN p ON p.note = k.note AND p.key = q.key JOIN w ON w.key = q.key, tops WHERE idf > 0 GROUP BY k.item, k.note),
+    s AS (SELECT item, note, 40 + coalesce(CASE WHEN points >= 3 THEN points END, 0) AS score FROM k LEFT JOIN t USING (item, note)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, note) AS r FROM s WHERE score >= 40),
     l AS (SELECT doc_id AS a, (doc_id * 7 + 3) % 1500 AS b FROM documents WHERE doc_id % 5 <> 0 UNION SELECT doc_id, doc_id % 10 FROM documents WHERE doc_id % 3 = 0),
-    g AS (SELECT item, note, score FROM f WHERE r <= 20 AND NOT EXISTS (SELECT 1 FROM l WHERE (a = item AND b = note) OR (a = note AND b = item)))
-    SELECT * FROM (SELECT item, note, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, note)::INTEGER AS rank FROM g) WHERE rank <= 5""")
+    g AS (SELECT item, note, score FROM f WHERE r <= 20 AND item <> note AND NOT EXISTS (SELECT 1 FROM l WHERE (a = item AND b = note) OR (a = note AND b = item)))
+    SELECT * FROM (SELECT item, note, score::INTEGER AS score, row_number() OVER (PARTITION BY item ORDER BY score DESC, note)::INTEGER AS rank FROM g) WHERE rank <= 5""")
 def semantic_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cards(spark, sf_dir)
-    evidence = C.tokens(c.select(F.col("note").alias("item"), "title", F.lit("").alias("body")), c)
+    """Each note is an item with its whole body.  Tokens give 25 points at most, and the floor is 40: only pairs with other evidence
+    (here a code) can reach it, so tokens are compared for those alone."""
+    c = cards(spark, sf_dir).withColumn("codes", F.array(F.concat(F.lit("GRP-"), F.floor(F.col("note") / 6).cast("string"))))
+    i = c.select(F.col("note").alias("item"), "title", F.col("text").alias("body"), "codes")
+    strong = C.codes(i, c)
+    evidence = strong.unionByName(C.tokens(i, c, strong))
     number = lambda x: F.regexp_extract(x, r"doc-(\d+)\.md$", 1).cast("bigint")
     linked = graph.graph_resolved(spark, sf_dir).where("dst like '%.md'").select(number("src").alias("a"), number("dst").alias("b"))
-    return C.gaps(evidence, linked, floor=20)
+    return C.gaps(evidence, linked)
 
 
 @query("corr_links_out", lens.sql("SELECT src, string_agg(DISTINCT target, ',' ORDER BY target) AS targets FROM l GROUP BY src"))

@@ -11,11 +11,12 @@ from sheaf.functions import text as T
 from sheaf.operators import findings as FI
 from sheaf.operators import graph as G
 from sheaf.plans import lens
+from sheaf.sources import files as S
 from sheaf.tables import table
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.resolve(N.links(lens.notes(spark, sf_dir)), lens.files(spark, sf_dir))
+    return G.resolve(N.all_links(lens.notes(spark, sf_dir)), lens.files(spark, sf_dir))
 
 
 def _note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def graph_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("graph_broken_links", lens.sql("SELECT src, target FROM r WHERE dst IS NULL"))
 def graph_broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolved(spark, sf_dir).where("dst is null").select("src", "target")
+    return _resolved(spark, sf_dir).where("state = 'broken'").select("src", "target")
 
 
 @query("graph_degree", lens.sql("SELECT path, inbound, outbound FROM deg"))
@@ -118,6 +119,57 @@ def findings_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FI.sarif(graph_findings(spark, sf_dir))
 
 
+#: A collection with the cases that the rendered notes lack; what is to be found in it is written down below, not computed.
+_CASES = {
+    "a.md": "[[#Here]] [[https://x.org/p]] [web](https://x.org) [mail](mailto:a@b.c) [[b]] [[dir\\b]] [[old/b]] [text](dir/b.md#Top \"t\") ![[pic]] ![[pic.png]] [here](#Here)",
+    "b.md": "# Top\n[[dir/b#Top]] [[dir/b#Nope]] [[b#^id1]] [[b#^id2]]\nline ^id1\n",
+    "dir/b.md": "## Top\n```\n[[fenced]]\n```\n",
+    "only-broken.md": "[[nowhere]] [[dir/nowhere]] [gone](gone.md)",
+    "v1.2.md": "[[V1.2]] [[Spec v2.0]] [[x.7z]]",
+    "alone.md": "no link",
+    "sub/Spec v2.0.md": "[[v1.2.md]] [[./b]] [[SUB/spec V2.0]]",
+    "board.canvas": '{"nodes": [{"id": "1", "type": "file", "file": "dir/b.md"}, {"id": "2", "type": "file", "file": "lost.md"}, {"id": "3", "type": "text"}]}',
+    "view.base": "filter: 'b.md' or \"lost.png\"",
+    "pic.png": None,
+}
+
+
+def _cases(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    texts = spark.createDataFrame([(p, t) for p, t in _CASES.items() if t is not None], "path string, text string")
+    return texts, spark.createDataFrame([(p,) for p in _CASES], "path string")
+
+
+@query("graph_cases", """SELECT * FROM (VALUES ('a.md', 'https://x.org/p', NULL, 'external'), ('a.md', 'https://x.org', NULL, 'external'), ('a.md', 'mailto:a@b.c', NULL, 'external'), ('a.md', 'b', 'b.md', 'found'),
+        ('a.md', 'dir\\b', 'dir/b.md', 'found'), ('a.md', 'old/b', 'b.md', 'found'), ('a.md', 'dir/b.md', 'dir/b.md', 'found'), ('a.md', 'pic', NULL, 'broken'), ('a.md', 'pic.png', 'pic.png', 'found'),
+        ('b.md', 'dir/b', 'dir/b.md', 'found'), ('b.md', 'dir/b', 'dir/b.md', 'found'), ('b.md', 'b', 'b.md', 'found'), ('b.md', 'b', 'b.md', 'found'),
+        ('only-broken.md', 'nowhere', NULL, 'broken'), ('only-broken.md', 'dir/nowhere', NULL, 'broken'), ('only-broken.md', 'gone.md', NULL, 'broken'),
+        ('v1.2.md', 'V1.2', 'v1.2.md', 'found'), ('v1.2.md', 'Spec v2.0', 'sub/Spec v2.0.md', 'found'), ('v1.2.md', 'x.7z', NULL, 'broken'),
+        ('sub/Spec v2.0.md', 'v1.2.md', 'v1.2.md', 'found'), ('sub/Spec v2.0.md', './b', 'b.md', 'found'), ('sub/Spec v2.0.md', 'SUB/spec V2.0', 'sub/Spec v2.0.md', 'found')) v(src, target, dst, state)""")
+def graph_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, files = _cases(spark)
+    return G.resolve(N.all_links(texts.where("path like '%.md'")), files).select("src", "target", "dst", "state")
+
+
+@query("graph_cases_degree", """SELECT path, i::BIGINT AS inbound, o::BIGINT AS outbound FROM (VALUES ('a.md', 0, 9), ('b.md', 5, 4), ('dir/b.md', 4, 0), ('only-broken.md', 0, 3), ('v1.2.md', 2, 3), ('alone.md', 0, 0), ('sub/Spec v2.0.md', 2, 3)) v(path, i, o)""")
+def graph_cases_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, files = _cases(spark)
+    return G.degrees(files.where("path like '%.md'"), G.resolve(N.all_links(texts.where("path like '%.md'")), files))
+
+
+@query("graph_cases_anchors", "SELECT * FROM (VALUES ('b.md', 'dir/b.md', 'Nope'), ('b.md', 'b.md', '^id2')) v(src, dst, anchor)")
+def graph_cases_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, files = _cases(spark)
+    notes = texts.where("path like '%.md'")
+    return G.broken_anchors(G.resolve(N.all_links(notes), files), notes)
+
+
+@query("graph_cases_views", "SELECT * FROM (VALUES ('board.canvas', 'dir/b.md', 'found'), ('board.canvas', 'lost.md', 'broken'), ('view.base', 'b.md', 'found'), ('view.base', 'lost.png', 'broken')) v(src, target, state)")
+def graph_cases_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that canvases and views name."""
+    texts, files = _cases(spark)
+    return G.resolve(S.canvas_links(texts).unionByName(S.base_links(texts)), files).select("src", "target", "state")
+
+
 @query("html_links", """SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages) GROUP BY ALL""")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")

@@ -147,16 +147,15 @@ def ingest_first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _conv(spark, sf_dir).select("conv_id", "turn", I.first_lines(F.col("text")).alias("head"))
 
 
-_G = I.RULES
-_ESC = f"""WITH s AS (SELECT conv_id, turn, length(text) AS len, length(text) % 100 AS score, turn % 2 AS topics, conv_id % 2 AS actions, conv_id % 5 AS questions, conv_id % 3 AS attachments, turn % 3 AS parsed, conv_id % 7 = 0 AS aside, conv_id % 4 = 0 AS isnew, conv_id % 6 AS grp FROM conversations),
+_ESC = """WITH s AS (SELECT conv_id, turn, length(text) AS len, length(text) % 100 AS score, turn % 2 AS topics, conv_id % 2 AS actions, conv_id % 5 AS questions, conv_id % 3 AS attachments, turn % 3 AS parsed, conv_id % 7 = 0 AS aside, conv_id % 4 = 0 AS isnew, conv_id % 6 AS grp FROM conversations),
     a AS (SELECT conv_id, turn, greatest(0, least(100,
-        CASE WHEN topics = 0 AND score >= 40 THEN {_G['no_topic_high_score']} ELSE 0 END + CASE WHEN actions > 0 AND questions = 0 THEN {_G['ask_without_specifics']} ELSE 0 END
-        + CASE WHEN questions >= 3 THEN {_G['many_questions']} ELSE 0 END + CASE WHEN conv_id % 9 = 0 THEN {_G['deadline_unresolved']} ELSE 0 END + CASE WHEN len > 3000 THEN {_G['long_body']} ELSE 0 END
-        + CASE WHEN len < 400 AND attachments > 0 THEN {_G['thin_body_with_attachments']} ELSE 0 END + CASE WHEN conv_id % 8 = 0 THEN {_G['image_needs_vision']} ELSE 0 END
-        + CASE WHEN attachments = 2 AND parsed = 0 THEN {_G['delegated_unread']} ELSE 0 END + CASE WHEN score >= 50 AND aside THEN {_G['contradictory_direction']} ELSE 0 END
-        + CASE WHEN isnew AND score >= 40 THEN {_G['new_and_nontrivial']} ELSE 0 END + CASE WHEN grp >= 4 THEN {_G['long_thread']} ELSE 0 END
-        + CASE WHEN len < 800 AND topics > 0 AND score < 40 AND NOT (attachments > 0 AND parsed = 0) THEN {_G['resolved_credit']} ELSE 0 END))::INTEGER AS ambiguity FROM s)
-    SELECT conv_id, turn, ambiguity, (100 - ambiguity)::INTEGER AS confidence, ambiguity >= {I.THRESHOLD} AS escalate FROM a"""
+        CASE WHEN topics = 0 AND score >= 40 THEN 20 ELSE 0 END + CASE WHEN actions > 0 AND questions = 0 THEN 15 ELSE 0 END
+        + CASE WHEN questions >= 3 THEN 15 ELSE 0 END + CASE WHEN conv_id % 9 = 0 THEN 15 ELSE 0 END + CASE WHEN len > 3000 THEN 15 ELSE 0 END
+        + CASE WHEN len < 400 AND attachments > 0 THEN 15 ELSE 0 END + CASE WHEN conv_id % 8 = 0 THEN 20 ELSE 0 END
+        + CASE WHEN attachments = 2 AND parsed = 0 THEN 15 ELSE 0 END + CASE WHEN score >= 50 AND aside THEN 10 ELSE 0 END
+        + CASE WHEN isnew AND score >= 40 THEN 10 ELSE 0 END + CASE WHEN grp >= 4 THEN 10 ELSE 0 END
+        + CASE WHEN len < 800 AND topics > 0 AND score < 40 AND NOT (attachments > 0 AND parsed = 0) THEN -15 ELSE 0 END))::INTEGER AS ambiguity FROM s)
+    SELECT conv_id, turn, ambiguity, (100 - ambiguity)::INTEGER AS confidence, ambiguity >= 35 AS escalate FROM a"""
 
 
 @query("ingest_escalation", _ESC)

@@ -49,7 +49,7 @@ SQL = """
           UNION ALL SELECT i, path, 'img-' || i || '.png', '', '', true, NULL FROM n WHERE i % 4 = 1),
     r AS (SELECT l.*, CASE WHEN l.t IS NULL THEN 'media/img-' || l.i || '.png' ELSE n.path END AS dst FROM l LEFT JOIN n ON n.i = l.t),
     deg AS (SELECT path, sum(a)::BIGINT AS inbound, sum(b)::BIGINT AS outbound
-            FROM (SELECT path, 0 AS a, 0 AS b FROM n UNION ALL SELECT dst, 1, 0 FROM r WHERE dst LIKE '%.md' UNION ALL SELECT src, 0, 1 FROM r WHERE dst IS NOT NULL)
+            FROM (SELECT path, 0 AS a, 0 AS b FROM n UNION ALL SELECT dst, 1, 0 FROM r WHERE dst LIKE '%.md' UNION ALL SELECT src, 0, 1 FROM r)
             GROUP BY path)"""
 
 

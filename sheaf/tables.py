@@ -32,6 +32,19 @@ def session(app: str = "sheaf", cores: str = "*", **conf: str) -> SparkSession:
     return spark
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed once and kept in the folder that the session's ``spark.checkpoint.dir`` names, which all executors
+    share; only where that is unset, on one machine, is one made."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master != "local" and not (context.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sheaf-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 _shipped: set[str] = set()
 
 

@@ -50,7 +50,7 @@ FILES = [("a.md",), ("dir/b.md",), ("dir/sub/b.md",), ("other/c.v1.2.md",), ("im
 
 @pytest.mark.parametrize(("target", "want"), [
     ("a", "a.md"), ("A", "a.md"), ("b", "dir/b.md"), ("sub/b", "dir/sub/b.md"), ("dir/b", "dir/b.md"), ("c.v1.2", "other/c.v1.2.md"),
-    ("p.png", "img/p.png"), ("p", "img/p.png"), ("b.md", "dir/b.md"), ("none", None), ("dir/none", None), ("ir/b", None),
+    ("p.png", "img/p.png"), ("p", None), ("b.md", "dir/b.md"), ("none", None), ("dir/none", None), ("ir/b", "dir/b.md"),
 ])
 def test_resolution(spark, target, want):
     links = spark.createDataFrame([("a.md", target)], "src string, target string")
@@ -62,8 +62,8 @@ def test_graph(spark):
     notes = df(spark, [("a.md", "# Top\n[[b]] [[gone]] [[b#Head one]] [[b#Nope]] [[b#^blk]] ![[p.png]]"), ("b.md", "## Head, one!\ntext ^blk\n"), ("c.md", "alone")])
     files = spark.createDataFrame([("a.md",), ("b.md",), ("c.md",), ("p.png",), ("q.PNG",)], "path string")
     r = G.resolve(N.links(notes), files).cache()
-    assert rows(r.where("dst is null"), "src", "target") == [("a.md", "gone")]
-    assert rows(G.degrees(files, r)) == [("a.md", 0, 5), ("b.md", 4, 0), ("c.md", 0, 0), ("p.png", 1, 0), ("q.PNG", 0, 0)]
+    assert rows(r.where("state = 'broken'"), "src", "target") == [("a.md", "gone")]
+    assert rows(G.degrees(files, r)) == [("a.md", 0, 6), ("b.md", 4, 0), ("c.md", 0, 0), ("p.png", 1, 0), ("q.PNG", 0, 0)]
     assert rows(G.broken_anchors(r, notes)) == [("a.md", "b.md", "Nope")]
     assert rows(G.orphan_media(files, r)) == [("q.PNG",)]
 
@@ -98,3 +98,20 @@ def test_ancestors_end_at_a_cycle(spark):
     e = spark.createDataFrame([("a", "parent", "b"), ("b", "parent", "c"), ("c", "parent", "a"), ("d", "other", "a"), ("e", "parent", "e")], "src string, type string, dst string")
     assert rows(R.ancestors(e).where("id = 'a'")) == [("a", "b", 1), ("a", "c", 2)]
     assert R.ancestors(e).where("id in ('d', 'e')").count() == 0
+
+
+def test_ancestors_of_long_chains_and_tails_of_cycles(spark):
+    rows_ = [(f"n{i:03}", "parent", f"n{i + 1:03}", i) for i in range(70)] + [("t1", "parent", "t2", 0), ("t2", "parent", "c1", 0), ("c1", "parent", "c2", 0), ("c2", "parent", "c3", 0), ("c3", "parent", "c1", 0), ("n000", "parent", "a", 9), ("t1", "parent", "a", 5)]
+    e = spark.createDataFrame(rows_, "src string, type string, dst string, pos int")
+    got = R.ancestors(e).collect()
+    up = {}
+    for s, _, d, p in sorted(rows_, key=lambda r: r[3]):
+        up.setdefault(s, d)
+    want = []
+    for s in up:
+        seen, at = [s], s
+        while at in up and up[at] not in seen:
+            at = up[at]
+            seen.append(at)
+        want += [(s, x, k) for k, x in enumerate(seen) if k]
+    assert sorted(map(tuple, got)) == sorted(want) and max(r["depth"] for r in got) == 70

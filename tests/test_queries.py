@@ -42,6 +42,17 @@ def test_the_rest_works_without_the_llm_folders(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
 
 
+def test_a_missing_package_takes_only_what_needs_it(tmp_path):
+    for f in ("__spark_entry__.py", "oracle_check.py"):
+        shutil.copy(ROOT / f, tmp_path)
+    shutil.copytree(ROOT / "sheaf", tmp_path / "sheaf", ignore=shutil.ignore_patterns("__pycache__"))
+    if not (tmp_path / "sheaf/llm").exists():
+        pytest.skip("there is nothing that needs it")
+    code = "import sys; sys.modules['ahocorasick'] = {}; import __spark_entry__ as e; q = e.queries(); assert 'graph_links' in q and 'pipeline' not in q; assert any(n.startswith('op') for n in q) == {}; assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code.format("None", False)], cwd=tmp_path, check=True)
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code.replace("sys.modules['ahocorasick'] = {}; ", "").format(True)], cwd=tmp_path, check=True)
+
+
 def test_nothing_else_imports_llm():
     for p in (ROOT / "sheaf").rglob("*.py"):
         if "llm" not in p.parts:

@@ -54,7 +54,59 @@ def test_denylist(spark):
 def test_phrases_meet_with_and_without_an_inner_word(spark):
     cards = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta gamma"), (3, "gamma delta"), (4, "short"), (5, "alphabet")], "note int, title string")
     items = spark.createDataFrame([(7, None, "xx Alpha beta gammas"), (8, "t", "an alphabetical list"), (9, "", None)], "item int, title string, body string")
-    assert sorted((r["item"], r["note"], r["points"]) for r in C.phrases(items, cards).collect()) == [(7, 1, 35), (8, 5, 35)]
+    assert sorted((r["item"], r["note"], r["points"]) for r in C.phrases(items, cards).collect()) == [(7, 1, 35), (7, 2, 35), (8, 5, 35)]  # a name within a longer one of another note counts
+
+
+def test_phrases_of_one_note(spark):
+    cards = spark.createDataFrame([("n1", "widget prog", None), ("n2", "widget programme", ["widget prog", "the big widget", "big wid"]), ("n3", None, ["w", "programme plan"])], "note string, title string, aliases array<string>")
+    items = spark.createDataFrame([(1, "About", "the big widget programme plans")], "item int, title string, body string")
+    assert sorted((r["note"], r["reason"], r["points"]) for r in C.phrases(items, cards).collect()) == [("n1", "widget prog", 35), ("n2", "the big widget", 5), ("n2", "widget programme", 35), ("n3", "programme plan", 35)]
+
+
+def test_tags_between_word_boundaries(spark):
+    cards = spark.createDataFrame([(1, ["data-set", "ab/cd", "two words"]), (2, ["data", "c++x", "(odd)"]), (3, ["sets", "été1", "----"])], "note int, tags array<string>")
+    items = spark.createDataFrame([(1, "A Data-Set", "xab/cd and two words"), (2, "datasets", "an ab/cd, ÉTÉ1"), (3, None, None)], "item int, title string, body string")
+    import re
+
+    want = set()
+    for i, hay in ((1, "a data-set\nxab/cd and two words"), (2, "datasets\nan ab/cd, été1"), (3, "")):
+        want |= {(i, n, t) for n, ts in ((1, ["data-set", "ab/cd", "two words"]), (2, ["data", "c++x", "(odd)"]), (3, ["sets", "été1", "----"])) for t in ts if re.search(rf"\b{re.escape(t)}\b", hay)}
+    assert {(r["item"], r["note"], r["reason"]) for r in C.tags(items, cards).collect()} == want and len(want) == 5
+
+
+def test_scores_end_at_a_hundred_and_weak_ones_say_so(spark):
+    ev = spark.createDataFrame([(1, n, "c", p, f"{k}") for k, (n, p) in enumerate([("a", 80), ("a", 50), ("b", 90), ("b", 30)])] + [(2, "a", "t", 20, f"{k}") for k in range(6)], "item int, note string, channel string, points int, reason string")
+    got = {(r["item"], r["note"]): (r["score"], r["rank"], r["evidence"]) for r in C.ranked(ev).collect()}
+    assert got[1, "a"][:2] == (100, 1) and got[1, "b"][:2] == (100, 2)
+    assert got[2, "a"] == (69, 1, "t:0,t:1,t:2,t:3,capped: no single signal >= 30")
+
+
+def test_related_notes(spark):
+    cards = spark.createDataFrame([("a", "a", ["X 1"], ["t"], ["B"], "one/x"), ("b", "b", [], [], [], "two"), ("c", "c", ["x-1"], [], [], "three"), ("d", "d", None, ["T"], None, "four"), ("e", "e", [], [], [], "two/y"), ("f", "f", [], [], [], None)], "note string, stem string, codes array<string>, tags array<string>, links array<string>, folder string")
+    pairs = spark.createDataFrame([(x, y) for x in "abcdef" for y in "abcdef" if x < y], "a string, b string")
+    assert sorted(tuple(r) for r in C.related(cards, pairs).collect()) == [("a", "b"), ("a", "c"), ("a", "d"), ("b", "e")]
+
+
+def test_token_scores_of_given_pairs(spark):
+    cards = spark.createDataFrame([(n, f"title word{n % 3} other{n % 5}") for n in range(20)], "note int, title string")
+    items = spark.createDataFrame([(n, f"word{n % 3}", f"some other{n % 5}") for n in range(6)], "item int, title string, body string")
+    every = items.select("item").crossJoin(cards.select("note"))
+    assert sorted(C.tokens(items, cards, every).collect()) == sorted(C.tokens(items, cards).collect()) != []
+
+
+def test_contradictions_are_among_feedback_notes(spark):
+    f = spark.createDataFrame([("feedback-build.md", "always", None), ("x-build.md", "never", "feedback"), ("project-build.md", "never", "project"), ("y-build.md", "never", None)], "name string, text string, kind string")
+    assert [tuple(r) for r in M.contradictions(f).collect()] == [("feedback-build.md", "x-build.md", "always/never")]
+
+
+def test_gate_weights_are_those_written_down(spark):
+    from sheaf.operators import ingest as I
+
+    one = {"body_len": 1000, "n_topics": 1, "score": 0, "n_actions": 0, "n_questions": 0, "n_deadlines": 0, "deadline_state": None, "n_attachments": 0, "n_delegating": 0, "n_parsed": 0, "n_vision": 0, "aside": False, "is_new": False, "group_size": 0}
+    cases = [({"body_len": 300, "n_attachments": 1, "n_parsed": 1, "score": 45}, 15), ({"n_vision": 1}, 20), ({"n_delegating": 1}, 15), ({"score": 55, "aside": True}, 10), ({"score": 45, "is_new": True}, 10), ({"n_vision": 1, "body_len": 700}, 5), ({"group_size": 4}, 10), ({"n_questions": 3}, 15)]
+    schema = "body_len int, n_topics int, score int, n_actions int, n_questions int, n_deadlines int, deadline_state string, n_attachments int, n_delegating int, n_parsed int, n_vision int, aside boolean, is_new boolean, group_size int, want int"
+    d = spark.createDataFrame([(*(one | c).values(), w) for c, w in cases], schema)
+    assert all(r["ambiguity"] == r["want"] for r in I.escalation(d).collect())
 
 
 def test_budgets(spark):
