@@ -18,7 +18,7 @@ Featurise = Callable[[pa.Array, list[pa.Array]], Rows]
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, columns: list[str], featurise: Featurise) -> tuple[Rows, np.ndarray]:
     """Features and labels of at most ``rows`` labelled documents, those whose ids hash lowest.  Null ids and labels don't
-    count; of several labels of one id the greatest does."""
+    count; of several labels of one id the greatest does, of several texts the least."""
     chosen = (
         common.own(labels, "doc_id", label)
         .where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -28,6 +28,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, columns: l
         .limit(rows)
     )
     found = common.own(docs, "doc_id", "text", *columns).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    # The bound is one of rows: an id that is repeated ever so often counts once, which begins before the shuffle.
+    found = found.groupBy("doc_id", "label").agg(F.min(F.struct("text", *columns)).alias("row")).select("doc_id", "row.*", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for batch in batches for s in kernel.slices(batch, "text")):

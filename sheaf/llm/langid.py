@@ -3,8 +3,8 @@
 A text is a vector of hashed byte n-grams (two and three bytes of its lower-cased UTF-8; everything but letters counts as one
 separator), weighted log(1 + tf) * idf and brought to length 1.  Document frequencies are counted over all documents.  The
 centroids of a language are clusters (spherical k-means) of at most ``SAMPLE`` of its labelled documents, a documented bound of
-the fit.  A document gets the language of the centroid of greatest cosine, unless that cosine is below the centroid's own
-radius: then it is rejected.  Classification is a scan; what is sent to executors has a fixed size for each language.
+the fit.  A document gets the language of the centroid of greatest cosine, unless that cosine is below the radius of
+that language: then it is rejected.  The radius is half of what 99 % of the language's sample reach, one for all its centroids.  Classification is a scan; what is sent to executors has a fixed size for each language.
 
 Cases: a text that is null or has no letter has no language and a cosine of 0.  Documents without a language label aren't
 learnt from; without any label all are rejected.  Of equally near centroids the one of the least language name wins.  Repeated

@@ -75,6 +75,15 @@ def test_hard_cases(spark, hard, empty):
     assert quality.score(empty, q).count() == 0 and quality.keep(empty, q).count() == 0 and toxicity.score(empty, None).count() == 0
 
 
+def test_a_repeated_id_counts_once(spark):
+    docs = spark.createDataFrame([(1, "b text here", "en", "s")] * 500 + [(1, "a text here", "en", None)] * 3 + [(2, "two", None, "s"), (None, "x", "en", "s")], "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id bigint, quality int")
+    x, y = quality.labelled.sample(docs, labels, "quality", 10, ["lang", "source"], quality._features)
+    assert len(x) == 2 and y.tolist() == [1, 0]
+    one, _ = quality.labelled.sample(docs.where("source is null"), labels, "quality", 10, ["lang", "source"], quality._features)
+    assert x.take(np.array([0])).index.tolist() == one.index.tolist()
+
+
 def test_without_labels_nothing_with_words_is_rejected(spark, hard):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert quality.fit(hard, none) is None and toxicity.fit(hard, none) is None
