@@ -64,3 +64,14 @@ def test_empty(spark, hard, empty):
     some = spark.createDataFrame([(1, "a b c d")], "item_id bigint, text string")
     assert D.contaminated(hard, none).count() == 0 and D.contaminated(empty, some).count() == 0
     assert D.drop_contaminated(hard, none).count() == hard.count() and D.drop_contaminated(empty, some).count() == 0
+
+
+def test_many_hits_take_no_quadratic_time():
+    import time
+
+    n = 60_000
+    row = {"doc_id": 1, "name": 2, "item_id": 3, "length": 12, "span": 3, "need": 6, "prefix": 5, "item": list(range(10)), "positions": list(range(0, 4 * n, 4)), "runs": [i % 10 for i in range(n)]}
+    schema = D.pa.Table.from_pylist([row]).schema
+    began = time.process_time()
+    assert list(D._windows(iter([D.pa.RecordBatch.from_pylist([row], schema=schema)]))) == []
+    assert time.process_time() - began < 10
