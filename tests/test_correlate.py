@@ -25,3 +25,14 @@ def test_bodies_meet_given_pairs_last(spark):
     assert sorted(df.collect()) == sorted(C.tokens(items, cards).collect()) != []
     joins = [x for x in plan(df).partition("array_intersect")[2].splitlines() if "Join" in x]
     assert "item#" in joins[0] and "note#" in joins[1]
+
+
+def test_texts_stay_where_they_are_for_few_names(spark, monkeypatch):
+    cards = spark.createDataFrame([(1, "the old harbour ledger"), (2, "harbour"), (3, "old harbour"), (4, "of the old harbour town"), (5, None)], "note int, title string")
+    items = spark.createDataFrame([(7, "Of the old harbour, and the old harbour ledger", None), (8, None, "harbours"), (9, "", "old Harbour"), (9, "the old harbour ledger", ""), (10, None, None)], "item int, title string, body string")
+    few = C.phrases(items, cards)
+    want = [(7, 1), (7, 2), (7, 3), (8, 2), (9, 1), (9, 2), (9, 3)]
+    assert sorted((r["item"], r["note"]) for r in few.collect()) == want
+    assert not [x for x in plan(few).splitlines() if "Join" in x and "item#" in x]
+    monkeypatch.setattr(C, "SENT", 0, raising=False)
+    assert sorted(C.phrases(items, cards).collect()) == sorted(few.collect())
